@@ -70,19 +70,16 @@ WITH r AS (SELECT conv_id, list(text ORDER BY turn) FILTER (role = 'assistant')
 """
 
 
-def conversations_lists(spark, d):
-    c = table(spark, d, "conversations")
-    # turns of one conversation
-    g = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    return g.select("conv_id", F.transform(F.filter("t", lambda x: x["role"] == "assistant"), lambda x: x["text"]).alias("retrieved"),
-                    F.transform("t", lambda x: F.substring_index(x["text"], ".", 1)).alias("gold"))
-
-
 @query("q_recall_at_k", RECALL_SQL + """
 SELECT conv_id, list_count(list_filter(gold, lambda g: len(list_filter(retrieved[1:2], lambda t: contains(t, g))) > 0)) / len(gold) AS recall_at_2,
        list_count(list_filter(gold, lambda g: len(list_filter(retrieved[1:5], lambda t: contains(t, g))) > 0)) / len(gold) AS recall_at_5 FROM r""")
 def recall_at_k(spark, d):
-    return Q.with_recall(conversations_lists(spark, d), "retrieved", "gold").select("conv_id", "recall_at_2", "recall_at_5")
+    from pyspark.sql import Window as W
+    c = table(spark, d, "conversations")
+    gold = c.select("conv_id", F.substring_index("text", ".", 1).alias("gold"))
+    rank = F.row_number().over(W.partitionBy("conv_id").orderBy("turn"))
+    found = c.filter("role = 'assistant'").withColumn("rank", rank).filter("rank <= 5").select("conv_id", "rank", "text")
+    return Q.recall_long(gold, found, "conv_id")
 
 
 @query("q_retriever_summary", "WITH s AS (" + F1_SQL.split("SELECT conv_id, turn, CAST")[0].replace("WITH", "WITH ", 1) + """SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN 'even' ELSE 'odd' END AS retriever,
@@ -250,13 +247,8 @@ def acc_all(spark, d):
 @query("q_max_over_golds", """
 SELECT conv_id, CAST(max(CAST(left(text, 1) = 'T' AS DOUBLE)) AS DOUBLE) AS best FROM conversations GROUP BY conv_id""")
 def max_over_golds(spark, d):
-    g = conversations_golds(spark, d)
-    return g.select("conv_id", M.max_over_golds("pred", "golds", lambda p, x: M.exact_match(p, x)).alias("best"))
-
-
-def conversations_golds(spark, d):
     c = table(spark, d, "conversations")
-    return c.groupBy("conv_id").agg(F.collect_list(F.substring("text", 1, 1)).alias("golds")).withColumn("pred", F.lit("T"))
+    return c.groupBy("conv_id").agg(F.max(M.exact_match(F.lit("T"), F.substring("text", 1, 1))).alias("best"))
 
 
 TASKS = """
@@ -359,6 +351,12 @@ def common_ngrams(spark, d):
     return D.common_ngrams(documents(spark, d), "doc_id")
 
 
+@query("q_common_short_ngrams", "WITH" + grams_sql("g", "documents", "doc_id", 3) + """
+o AS (SELECT ngram, count(*) AS n_docs FROM g GROUP BY ngram HAVING count(*) > 10) SELECT * FROM o""")
+def common_short_ngrams(spark, d):
+    return D.common_ngrams(documents(spark, d), "doc_id", n=3)
+
+
 @query("q_contaminated_docs", "WITH" + grams_sql("g", "documents", "doc_id", 13) + grams_sql("b", "benchmark", "item_id", 13) + """
 o AS (SELECT DISTINCT doc_id, item_id FROM g JOIN b USING (ngram)) SELECT * FROM o""")
 def contaminated_docs(spark, d):

@@ -239,14 +239,14 @@ def density(spark, d):
 
 @query("q_components", """
 WITH RECURSIVE e AS (
-  SELECT 'c' || o_custkey AS a, 'o' || o_orderkey AS b FROM orders WHERE o_orderstatus = 'F'),
+  SELECT 'c' || o_custkey AS a, 'o' || o_orderkey AS b FROM orders),
 both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 start AS (SELECT DISTINCT a AS id, a AS label FROM both_ways),
 reach(id, label) AS (SELECT id, label FROM start UNION SELECT t.b, r.label FROM reach r JOIN both_ways t ON t.a = r.id),
 comp AS (SELECT id, min(label) AS component FROM reach GROUP BY id)
 SELECT component, count(*) AS n_nodes FROM comp GROUP BY component""")
 def components(spark, d):
-    o = table(spark, d, "orders").filter("o_orderstatus = 'F'")
+    o = table(spark, d, "orders")
     e = o.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("dst"))
     v = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
     return R.connected_components(e, v).groupBy("component").agg(F.count("*").alias("n_nodes"))

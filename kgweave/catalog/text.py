@@ -130,7 +130,7 @@ def answer_split(spark, d):
 
 
 @query("q_react_parse", """
-SELECT conv_id, turn, trim(string_split(t, chr(10))[1]) AS thought, 'search for ' || conv_id AS action, CAST(conv_id AS VARCHAR) AS query
+SELECT conv_id, turn, ' ' || string_split(t, chr(10))[1] AS thought, ' search for ' || conv_id AS action, CAST(conv_id AS VARCHAR) AS query
 FROM (SELECT conv_id, turn, text AS t FROM conversations)""")
 def react_parse(spark, d):
     said = F.concat(F.lit("Thought: "), "text", F.lit("\nAction: search for "), F.col("conv_id").cast("string"), F.lit("\nAnswer: more"))

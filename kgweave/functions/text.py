@@ -101,7 +101,7 @@ def normalize_answer(c) -> Column:
 def first_line_after(c, marker: str) -> Column:
     """First line of the text that follows the first ``marker``; NULL without a marker."""
     parts = F.split(_col(c), marker, -1)
-    return F.when(F.size(parts) > 1, F.trim(F.substring_index(F.get(parts, 1), "\n", 1)))
+    return F.when(F.size(parts) > 1, F.substring_index(F.get(parts, 1), "\n", 1))
 
 
 def react_thought(c) -> Column:
@@ -113,12 +113,13 @@ def react_action(c) -> Column:
 
 
 def react_answer(c) -> Column:
-    return first_line_after(c, "Answer:")
+    parts = F.split(_col(c), "Answer:", -1)
+    return F.when(F.size(parts) > 1, squeeze_ends(F.get(parts, 1)))
 
 
 def react_search_query(action) -> Column:
     """Text after the last lower-case ``search for``; the whole action when it is absent."""
-    return F.trim(F.substring_index(_col(action), "search for", -1))
+    return squeeze_ends(F.substring_index(_col(action), "search for", -1))
 
 
 def strip_think(c) -> Column:
