@@ -352,8 +352,12 @@ def corpus_bleu(df: DataFrame, pred: str, ref: str, key: str, order: int = 4) ->
     from ..functions.arrays import ngrams
     from ..functions.text import tokens
     t = df.select(key, tokens(pred).alias("p"), tokens(ref).alias("r"))
-    grams = lambda side: F.flatten(F.array(*[F.transform(ngrams(side, n), lambda g, n=n: F.struct(
-        F.lit(n).alias("n"), F.array_join(g, " ").alias("g"))) for n in range(1, order + 1)]))
+
+    def of_order(side, n):
+        return F.transform(ngrams(side, n), lambda g: F.struct(F.lit(n).alias("n"), F.array_join(g, " ").alias("g")))
+
+    def grams(side):
+        return F.flatten(F.array(*[of_order(side, n) for n in range(1, order + 1)]))
     count = lambda side: t.select(key, F.explode(grams(side)).alias("x")).groupBy(key, "x.n", "x.g").agg(F.count("*").alias("c"))
     both = count("p").join(count("r").withColumnRenamed("c", "rc"), [key, "n", "g"], "left")
     hits = both.groupBy("n").agg(F.sum(F.least("c", F.coalesce("rc", F.lit(0)))).alias("hit"), F.sum("c").alias("all"))
@@ -369,10 +373,12 @@ def corpus_chrf(df: DataFrame, pred: str, ref: str, key: str, order: int = 6, be
     from ..functions.text import PY_WS
     t = df.select(key, *[F.regexp_replace(c, PY_WS, "").alias(a) for c, a in ((pred, "p"), (ref, "r"))])
 
+    def of_order(side, n):
+        starts = F.when(F.length(side) >= n, F.sequence(F.lit(1), F.length(side) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.substring(F.col(side), i, F.lit(n)).alias("g")))
+
     def grams(side):
-        return F.flatten(F.array(*[F.transform(
-            F.when(F.length(side) >= n, F.sequence(F.lit(1), F.length(side) - (n - 1))).otherwise(F.array().cast("array<int>")),
-            lambda i, n=n: F.struct(F.lit(n).alias("n"), F.substring(F.col(side), i, F.lit(n)).alias("g"))) for n in range(1, order + 1)]))
+        return F.flatten(F.array(*[of_order(side, n) for n in range(1, order + 1)]))
     rows = t.select(key, F.explode(grams("p")).alias("x"), F.lit(1).alias("pc"), F.lit(0).alias("rc")).unionByName(
         t.select(key, F.explode(grams("r")).alias("x"), F.lit(0).alias("pc"), F.lit(1).alias("rc")))
     c = rows.groupBy(key, "x.n", "x.g").agg(F.sum("pc").alias("pc"), F.sum("rc").alias("rc"))

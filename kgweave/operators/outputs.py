@@ -158,8 +158,8 @@ def gated_questions(df: DataFrame, columns: list[str], keys: dict[str, list[str]
     for c in columns:
         v = F.try_variant_get(F.try_parse_json(c), "$", "array<variant>")
         out = out.withColumn(f"_{c}", v).filter(F.col(f"_{c}").isNotNull())
-        has = lambda x, c=c: F.lit(True) if not keys.get(c) else _all_present(x, keys[c])
-        out = out.withColumn(c, F.filter(F.col(f"_{c}"), has)).drop(f"_{c}")
+        names = keys.get(c, [])
+        out = out.withColumn(c, F.filter(F.col(f"_{c}"), lambda x: _all_present(x, names))).drop(f"_{c}")
     return out
 
 

@@ -85,6 +85,8 @@ def topk(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "ip", id_
 
         def scan(frames):
             qids, qm = shipped.value
+            if not len(qids):
+                return
             blocks = ((f["id"].to_numpy(), _matrix(f["vec"]), f[bias].to_numpy() if bias else None)
                       for f in frames if len(f))
             pool, lo, hi = _best(blocks, qm, k, cosine, weight, id_ascending)
@@ -143,6 +145,8 @@ def dense_scores(queries: DataFrame, vectors: DataFrame, weight: float = 1.0,
 
     def scan(frames):
         qids, qm = shipped.value
+        if not len(qids):
+            return
         step = max(1, _CELLS // max(1, len(qm)))
         for f in frames:
             ids, m = f["id"].to_numpy(), _matrix(f["vec"])

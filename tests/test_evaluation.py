@@ -38,7 +38,7 @@ def test_pooled_error_is_near_the_direct_one(spark):
 
 
 def test_combined_error(spark):
-    items = [(.1, 10, .5), (.2, 20, .7), (.05, 5, .1)]
+    items = [(.1, 10., .5), (.2, 20., .7), (.05, 5., .1)]
     var, size, score = items[0][0] ** 2, items[0][1], items[0][2]
     for se, n, s in items[1:]:
         score = (score * size + s * n) / (size + n)
@@ -293,7 +293,7 @@ def test_benchmark_and_chat(spark):
     assert long.count() == 8
     assert dict(((m, v) for _, m, v in rows(avg))) == {"em": 0.5, "f1": 0.5, "recall_at_2": 0.5, "recall_at_5": 0.5}
     m = A.chat_questions(spark.createDataFrame([(1, "Q Question: a Question: what sky"), (2, "MC pick"), (3, "skip me")], "query_id int, prompt string"), ["skip"], ["MC"])
-    assert rows(m, "text") == [("MC pick",), ("None",)][:1] + [(None,)] + [("what sky",)] or set(r[0] for r in rows(m, "text")) == {"MC pick", None, "what sky"}
+    assert set(r[0] for r in rows(m, "text")) == {"MC pick", None, "what sky"}
     ans = A.chat_answers(m, m.select("query_id", F.lit(1).alias("rank"), F.lit("sky is blue").alias("text")), Echo)
     got = dict(rows(ans, "query_id", "answer"))
     assert got[3] == "SKIP ME" and "PASSAGE 1: SKY IS BLUE" in got[1] and "(X)" in got[2]

@@ -121,7 +121,7 @@ def test_json_graph_last_write_wins(spark, flat):
     names = dict(rows(g.vertices, "name", "type"))
     assert names["C"] == "entity" and names["abc"] == "passage"
     assert g.edges.filter("relation = 'mention in'").count() == 3  # A,b C E one; Z only participates
-    assert files.count() == 5 and edge_files.count() >= 5
+    assert files.count() == 6 and edge_files.count() >= 5
 
 
 def test_readers(spark, tmp_path):
