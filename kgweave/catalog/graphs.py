@@ -10,9 +10,12 @@ from ..session import cut_lineage, dense_index
 from .base import TRIPLES, WITH_KG, documents, query, table
 
 
-def kg(spark, d) -> X.Flattened:
-    """Graph tables of the whole document collection under the stand-in extractor."""
-    return X.flatten(models.rule_extraction(documents(spark, d)))
+def kg(spark, d, shared: bool = False) -> X.Flattened:
+    """Graph tables of the whole document collection under the stand-in extractor.
+
+    ``shared`` stores the triples once for queries that read several tables.
+    """
+    return X.flatten(models.rule_extraction(documents(spark, d)), cut_lineage if shared else None)
 
 
 def plain_edges(spark, d):
@@ -85,7 +88,7 @@ def numeric_ids(spark, d):
 SELECT name AS "Name", CASE type WHEN 'entity' THEN 'Entity' ELSE 'Event' END AS "Type" FROM nodes
 UNION ALL SELECT DISTINCT relation, 'Relation' FROM triples""")
 def missing_concepts(spark, d):
-    return kg(spark, d).missing_concepts
+    return kg(spark, d, shared=True).missing_concepts
 
 
 @query("q_worklist_batches", WITH_KG + """
@@ -94,7 +97,7 @@ SELECT kind, (rn - 1) // 64 AS batch, count(*) AS n FROM (
   UNION ALL SELECT 'relation', row_number() OVER (ORDER BY relation) FROM (SELECT DISTINCT relation FROM triples)) GROUP BY ALL""")
 def worklist_batches(spark, d):
     from ..operators.shaping import worklist_batches as split
-    return split(kg(spark, d).missing_concepts, 64).groupBy("kind", "batch").agg(F.count("*").alias("n"))
+    return split(kg(spark, d, shared=True).missing_concepts, 64).groupBy("kind", "batch").agg(F.count("*").alias("n"))
 
 
 # ---- concepts ----------------------------------------------------------------------------------
@@ -118,7 +121,7 @@ def conceptualized(f: X.Flattened):
 SELECT sha256(concept || '_concept') AS concept_id, concept AS name, count(DISTINCT node) FILTER (node_type <> 'relation') AS n_names
 FROM crows WHERE node_type <> 'relation' GROUP BY concept""")
 def concept_nodes(spark, d):
-    f = kg(spark, d)
+    f = kg(spark, d, shared=True)
     rows = C.concept_rows(conceptualized(f)).filter("kind = 'node'")
     return rows.groupBy("concept").agg(F.count("*").alias("n_names")).select(
         concept_id("concept").alias("concept_id"), F.col("concept").alias("name"), "n_names")
@@ -128,7 +131,7 @@ def concept_nodes(spark, d):
 SELECT node AS start_id, sha256(concept || '_concept') AS end_id, 'has_concept' AS relation FROM crows
 WHERE node_type <> 'relation' GROUP BY node, concept""")
 def concept_edges(spark, d):
-    f = kg(spark, d)
+    f = kg(spark, d, shared=True)
     return C.concept_edges(f.nodes, C.concept_rows(conceptualized(f))).select("start_id", "end_id", "relation")
 
 
@@ -138,7 +141,7 @@ SELECT head AS start_id, tail AS end_id, string_agg(concept, ',' ORDER BY rnk, c
     SELECT *, row_number() OVER (PARTITION BY head, tail ORDER BY doc_id, kind, item, member) AS rk FROM triples) t
   JOIN crows c ON c.node = t.relation AND c.node_type = 'relation' GROUP BY ALL) GROUP BY head, tail""")
 def edge_concepts(spark, d):
-    f = kg(spark, d)
+    f = kg(spark, d, shared=True)
     e = C.edges_with_concepts(f.edges, C.concept_rows(conceptualized(f)))
     return G.edge_concepts(e.withColumnsRenamed({"start_id": "src", "end_id": "dst"})).withColumnsRenamed({"src": "start_id", "dst": "end_id"})
 
@@ -147,12 +150,12 @@ def edge_concepts(spark, d):
 SELECT node_type, count(DISTINCT concept) AS n_concepts FROM crows GROUP BY node_type
 UNION ALL SELECT 'all', count(DISTINCT concept) FROM crows""")
 def concept_counts(spark, d):
-    return C.concept_counts(conceptualized(kg(spark, d)))
+    return C.concept_counts(conceptualized(kg(spark, d, shared=True)))
 
 
 @query("q_name_context")
 def name_context(spark, d):
-    f = kg(spark, d)
+    f = kg(spark, d, shared=True)
     return C.name_context(f.nodes, f.edges)
 
 
@@ -163,7 +166,7 @@ UNION ALL SELECT 'mention in', count(*) FROM nodes
 UNION ALL SELECT 'has_concept', count(*) FROM ce
 UNION ALL SELECT 'vertices', (SELECT count(*) FROM nodes) + (SELECT count(DISTINCT text_id) FROM texts) + (SELECT count(DISTINCT concept) FROM ce)""")
 def full_graph(spark, d):
-    f = kg(spark, d)
+    f = kg(spark, d, shared=True)
     rows = C.concept_rows(conceptualized(f))
     ce = C.concept_edges(f.nodes, rows)
     g = G.full_graph(f, C.concept_nodes(ce), ce, C.edges_with_concepts(f.edges, rows))
@@ -204,7 +207,7 @@ SELECT count(*) AS n_edges, count(DISTINCT head) AS n_sources FROM (
   SELECT DISTINCT t.head, t.tail FROM triples t
   JOIN nodes a ON a.name = t.head AND a.type = 'entity' JOIN nodes b ON b.name = t.tail AND b.type = 'entity')""")
 def node_subset_edges(spark, d):
-    f = kg(spark, d)
+    f = kg(spark, d, shared=True)
     g = G.Graph(f.nodes.select(F.col("name").alias("id"), "name", "type"),
                 f.triples.select(F.col("head").alias("src"), F.col("tail").alias("dst")).distinct())
     e = G.induced_edges(g.edges, G.node_subset(g, events=False, concepts=False))
@@ -217,7 +220,7 @@ o AS (SELECT head AS name, count(*) AS c FROM e GROUP BY head), i AS (SELECT tai
 SELECT type, avg(coalesce(o.c, 0)) AS avg_out, avg(coalesce(i.c, 0)) AS avg_in, max(coalesce(o.c, 0)) AS max_out, max(coalesce(i.c, 0)) AS max_in,
        count(*) AS n_nodes FROM nodes LEFT JOIN o USING (name) LEFT JOIN i USING (name) GROUP BY type""")
 def degree_stats(spark, d):
-    f = kg(spark, d)
+    f = kg(spark, d, shared=True)
     v = X.first_mentions(f.triples).select(F.col("name").alias("id"), "type")
     e = f.triples.select(F.col("head").alias("src"), F.col("tail").alias("dst")).distinct()
     return v.join(G.degrees(v, e), "id").groupBy("type").agg(
@@ -229,7 +232,7 @@ def degree_stats(spark, d):
 SELECT n, m, m / (CAST(n AS DOUBLE) * (n - 1)) AS density FROM (
   SELECT (SELECT count(*) FROM nodes) AS n, (SELECT count(*) FROM (SELECT DISTINCT head, tail FROM triples)) AS m)""")
 def density(spark, d):
-    f = kg(spark, d)
+    f = kg(spark, d, shared=True)
     # one pass: nodes and pairs are counted side by side
     both = X.first_mentions(f.triples).select(F.lit(1).alias("v"), F.lit(0).alias("e")).unionByName(
         f.triples.select("head", "tail").distinct().select(F.lit(0).alias("v"), F.lit(1).alias("e")))

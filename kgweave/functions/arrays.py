@@ -1,6 +1,7 @@
 """Array and vector expressions: n-grams, token windows, soft-max, similarity, token overlap."""
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from .text import _col, tokens
@@ -29,25 +30,20 @@ def word_ngrams(text, n: int) -> Column:
     return F.transform(ngrams(tokens(text), n), lambda g: F.array_join(g, " "))
 
 
-def word_ngrams_with_offsets(text, n: int) -> Column:
-    """Word n-grams with inclusive character offsets (start, end) in the original text.
+def word_spans(text) -> Column:
+    """Words with inclusive character offsets. A growing array in a column expression would be
+    copied for every word; a scan in an Arrow batch is linear."""
+    @F.pandas_udf("array<struct<w:string,s:int,e:int>>")
+    def spans(t: pd.Series) -> pd.Series:
+        import re
+        word = re.compile(r"\S+")
+        return t.map(lambda x: [(m.group(), m.start(), m.end() - 1) for m in word.finditer(x or "")])
+    return spans(_col(text))
 
-    Splitting on one character of white space keeps the empty pieces between adjacent
-    separators, so a running sum of piece lengths gives every word's exact offset.
-    """
-    from .text import PY_WS
-    t = _col(text)
-    pieces = F.split(t, PY_WS, -1)
-    start = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<w:string,s:int,e:int>>").alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p) + 1).alias("at"),
-            F.when(p == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(
-                p.alias("w"), acc["at"].alias("s"), (acc["at"] + F.length(p) - 1).alias("e"))))).alias("out")),
-        lambda acc: acc["out"],
-    )
-    return let(start, lambda w: F.when(F.size(w) >= n, F.transform(
+
+def word_ngrams_with_offsets(text, n: int) -> Column:
+    """Word n-grams with inclusive character offsets (start, end) in the original text."""
+    return let(word_spans(text), lambda w: F.when(F.size(w) >= n, F.transform(
         F.sequence(F.lit(1), F.size(w) - (n - 1)),
         lambda i: F.struct(
             F.array_join(F.transform(F.slice(w, i, n), lambda x: x["w"]), " ").alias("ngram"),

@@ -3,8 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.arrays import word_ngrams, word_ngrams_with_offsets
-from ..functions.text import ngram_normalize
+from ..functions.arrays import ngrams, word_ngrams
+from ..functions.text import PY_WS, ngram_normalize, squeeze
 from ..session import running_total
 
 # N-gram length, removed window, dirty cut-off, minimum kept slice, common threshold.
@@ -50,13 +50,16 @@ def clean_chunks(docs: DataFrame, key: str, dirt: DataFrame, text: str = "text",
     ``dirt``: registered n-grams (normalised). A document with more than ``cutoff`` matches yields
     nothing, so the first ``cutoff`` + 1 of them decide and only those are gathered.
     """
-    raw = docs.select(key, text, F.explode(word_ngrams_with_offsets(text, n)).alias("g"))
-    hit = raw.select(key, "g.start", "g.end", ngram_normalize("g.ngram").alias("ngram")).join(
-        dirt.select("ngram").distinct(), "ngram", "left_semi")
-    w = W.partitionBy(key).orderBy("start")
+    # punctuation and case go, spaces stay: normalised words keep the positions of the raw ones
+    aligned = F.split(ngram_normalize(squeeze(text)), " ")
+    grams = F.transform(ngrams(aligned, n), lambda g: F.array_join(g, " "))
+    hit = docs.select(key, F.posexplode(grams).alias("i", "ngram")).join(dirt.select("ngram").distinct(), "ngram", "left_semi")
+    w = W.partitionBy(key).orderBy("i")
     few = hit.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= cutoff + 1).groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("parts"))
-    joined = docs.select(key, text).join(few, key, "left").withColumn("_n", F.length(text))
+        F.array_sort(F.collect_list("i")).alias("_i"))
+    joined = docs.select(key, text).join(few, key, "left").withColumn("_n", F.length(text)).withColumn(
+        "parts", F.when(F.size("_i") <= cutoff, F.transform("_i", lambda i: _span(F.col(text), i, n))).otherwise(
+            F.when(F.size("_i") > cutoff, F.array_repeat(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end")), cutoff + 1))))
     none = F.array().cast("array<struct<start:int,end:int>>")
     # state: position behind the last cut, last end, kept (from, to) spans with `to` exclusive
     spans = F.aggregate(
@@ -73,6 +76,19 @@ def clean_chunks(docs: DataFrame, key: str, dirt: DataFrame, text: str = "text",
         key, "chunk_id", F.substring(F.col(text), F.col("_x.a") + 1, F.col("_x.b") - F.col("_x.a")).alias("chunk"))
 
 
+def _span(text, i, n: int):
+    """(start, end) character offsets of words i .. i+n-1: one scan with a constant-size state."""
+    state = F.struct(F.lit(0).alias("k"), F.lit(0).alias("at"), F.lit(-1).alias("start"), F.lit(-1).alias("end"))
+
+    def step(s, p):
+        blank = p == ""
+        return F.struct(
+            F.when(blank, s["k"]).otherwise(s["k"] + 1).alias("k"), (s["at"] + F.length(p) + 1).alias("at"),
+            F.when(~blank & (s["k"] == i), s["at"]).otherwise(s["start"]).alias("start"),
+            F.when(~blank & (s["k"] == i + n - 1), s["at"] + F.length(p) - 1).otherwise(s["end"]).alias("end"))
+    return F.aggregate(F.split(text, PY_WS, -1), state, step, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+
+
 def bucketed_ngrams(docs: DataFrame, key: str, buckets: int, text: str = "text", n: int = N) -> DataFrame:
     """N-gram rows spread over buckets by hash and sorted inside each, ready to be written."""
     rows = document_ngrams(docs, [key], text, n).withColumn("bucket", F.pmod(F.xxhash64("ngram"), F.lit(buckets)))

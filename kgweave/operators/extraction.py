@@ -57,15 +57,16 @@ def all_triples(records: DataFrame) -> DataFrame:
         F.try_variant_get(F.try_parse_json("p.j"), "$", "array<variant>")).alias("item", "v"))
     tails = F.when(F.col("kind") == PARTICIPATION, F.expr("try_variant_get(v, '$.Entity', 'array<variant>')")
                    ).otherwise(F.expr("array(variant_get(v, '$.Tail', 'variant'))"))
-    members = items.select(
+    named = items.select(
         *keep, "kind", "item",
-        F.when(F.col("kind") == PARTICIPATION, _string_at("v", "$.Event")).otherwise(_string_at("v", "$.Head")).alias("head"),
-        F.when(F.col("kind") == PARTICIPATION, F.lit(PARTICIPATES)).otherwise(_string_at("v", "$.Relation")).alias("relation"),
-        F.posexplode(tails).alias("member", "t"))
-    rows = members.select(
-        *keep, "kind", "item", "member", clean_text("head").alias("head"),
-        clean_text("relation").alias("relation"), clean_text(_string_at("t", "$")).alias("tail"))
-    return rows.filter("head <> '' AND relation <> '' AND tail <> ''")
+        clean_text(F.when(F.col("kind") == PARTICIPATION, _string_at("v", "$.Event")).otherwise(_string_at("v", "$.Head"))).alias("head"),
+        F.when(F.col("kind") == PARTICIPATION, F.lit(PARTICIPATES)).otherwise(clean_text(_string_at("v", "$.Relation"))).alias("relation"),
+        tails.alias("_t"))
+    # blank heads and relations drop out inside the generator: a filter would be pushed below and
+    # clean every name a second time
+    members = F.when((F.col("head") != "") & (F.col("relation") != ""), F.transform("_t", lambda t: clean_text(
+        F.when(F.schema_of_variant(t) == "STRING", F.try_variant_get(t, "$", "string")))))
+    return named.select(*keep, "kind", "item", "head", "relation", F.posexplode(members).alias("member", "tail")).filter("tail <> ''")
 
 
 def mentions(triples: DataFrame) -> DataFrame:
@@ -107,13 +108,16 @@ def missing_concepts(nodes: DataFrame, triples: DataFrame) -> DataFrame:
         triples.select(F.col("relation").alias("Name")).distinct().withColumn("Type", F.lit("Relation")))
 
 
-def flatten(records: DataFrame) -> Flattened:
+def flatten(records: DataFrame, keep=None) -> Flattened:
     """All graph tables of a set of extraction records.
 
-    ``records``: file_name, line_no, id, original_text and the three JSON array columns.
+    ``records``: file_name, line_no, id, original_text and the three JSON array columns. Callers
+    that use several tables pass ``keep`` (such as ``cut_lineage``) so that the triples are parsed
+    once instead of once per table.
     """
     r = with_text_ids(records)
     t = all_triples(r)
+    t = keep(t) if keep else t
     seen = first_mentions(t)
     nodes = seen.select("name", "type", F.array().cast("array<string>").alias("concepts"),
                         F.array().cast("array<string>").alias("synsets"), F.lit(NODE_LABEL).alias("label"), "ord")
