@@ -313,6 +313,13 @@ def bleu_chrf(spark, d):
     return b.select(F.lit("bleu").alias("metric"), F.col("bleu").alias("value")).unionByName(c.select(F.lit("chrf").alias("metric"), F.col("chrf").alias("value")))
 
 
+@query("q_ter")
+def ter(spark, d):
+    """Edit rate between the first sentences of an answer and its question."""
+    p = pairs(spark, d).select(F.substring_index("pred", ".", 1).alias("p"), F.substring_index("gold", ".", 1).alias("r"))
+    return M.corpus_ter(p, "p", "r")
+
+
 @query("q_hungarian")
 def hungarian(spark, d):
     """Words of an answer's first sentence matched to those of the user's first sentence."""

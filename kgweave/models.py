@@ -111,7 +111,7 @@ def capital_entities(text) -> Column:
 
 def sentences(text) -> Column:
     """Sentences of at least three words, cut at full stops."""
-    parts = F.transform(F.split(squeeze(_col(text)), r"\."), F.trim)
+    parts = F.transform(F.split(squeeze(_col(text)), r"\."), lambda s: F.trim(s))
     return F.filter(parts, lambda s: F.size(F.split(s, " ")) >= 3)
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.arrays import argmax
@@ -167,9 +168,11 @@ def max_over_golds(pred, golds, fn) -> Column:
 def acc_all(df: DataFrame) -> DataFrame:
     """Share of (paragraph, question) groups answered fully right, with the error over questions."""
     ok = (F.col("pred") == F.col("gold"))
-    q = df.groupBy("paragraph", "question").agg(F.bool_and(ok).cast("int").alias("ok")).agg(F.avg("ok").alias("acc_all"))
-    e = df.groupBy("question").agg(F.bool_and(ok).cast("int").alias("ok")).agg(mean_stderr("ok").alias("acc_all_stderr"))
-    return q.join(e, F.lit(True))  # one row each
+    q = df.groupBy("paragraph", "question").agg(F.bool_and(ok).cast("int").alias("ok")).agg(
+        F.avg("ok").alias("acc_all"), F.lit(None).cast("double").alias("acc_all_stderr"))
+    e = df.groupBy("question").agg(F.bool_and(ok).cast("int").alias("ok")).agg(
+        F.lit(None).cast("double").alias("acc_all"), mean_stderr("ok").alias("acc_all_stderr"))
+    return q.unionByName(e).agg(F.max("acc_all").alias("acc_all"), F.max("acc_all_stderr").alias("acc_all_stderr"))
 
 
 # ---- resampling and comparison ------------------------------------------------------------------
@@ -360,12 +363,59 @@ def corpus_bleu(df: DataFrame, pred: str, ref: str, key: str, order: int = 4) ->
         return F.flatten(F.array(*[of_order(side, n) for n in range(1, order + 1)]))
     count = lambda side: t.select(key, F.explode(grams(side)).alias("x")).groupBy(key, "x.n", "x.g").agg(F.count("*").alias("c"))
     both = count("p").join(count("r").withColumnRenamed("c", "rc"), [key, "n", "g"], "left")
-    hits = both.groupBy("n").agg(F.sum(F.least("c", F.coalesce("rc", F.lit(0)))).alias("hit"), F.sum("c").alias("all"))
-    lens = t.agg(F.sum(F.size("p")).alias("pl"), F.sum(F.size("r")).alias("rl"))
-    prec = hits.agg(F.avg(F.log(F.col("hit") / F.col("all"))).alias("lp"), F.min("hit").alias("low"), F.count("*").alias("orders"))
+    hits = both.groupBy("n").agg(F.sum(F.least("c", F.coalesce("rc", F.lit(0)))).alias("hit"), F.sum("c").alias("all"),
+                                 F.lit(0).alias("pl"), F.lit(0).alias("rl"))
+    # order 0 carries the lengths
+    lens = t.agg(F.lit(0).alias("n"), F.lit(0).alias("hit"), F.lit(0).alias("all"), F.sum(F.size("p")).alias("pl"), F.sum(F.size("r")).alias("rl"))
+    scored = F.col("n") > 0
+    one = hits.unionByName(lens).agg(
+        F.avg(F.when(scored, F.log(F.col("hit") / F.col("all")))).alias("lp"), F.min(F.when(scored, F.col("hit"))).alias("low"),
+        F.count_if(scored).alias("orders"), F.max("pl").alias("pl"), F.max("rl").alias("rl"))
     bp = F.when(F.col("pl") >= F.col("rl"), 1.0).otherwise(F.exp(1 - F.col("rl") / F.col("pl")))
-    return prec.join(lens, F.lit(True)).select(F.when((F.col("low") == 0) | (F.col("orders") < order), 0.0).otherwise(
-        100 * bp * F.exp("lp")).alias("bleu"))  # one row each
+    return one.select(F.when((F.coalesce("low", F.lit(0)) == 0) | (F.col("orders") < order), 0.0).otherwise(
+        100 * bp * F.exp("lp")).alias("bleu"))
+
+
+def corpus_ter(df: DataFrame, pred: str, ref: str) -> DataFrame:
+    """Corpus translation edit rate: word edits after greedy block shifts, per reference word."""
+    @F.pandas_udf("struct<edits:double,words:double>")
+    def run(p: pd.Series, r: pd.Series) -> pd.DataFrame:
+        out = [(float(shift_edits(a.split(), b.split())), float(len(b.split()))) for a, b in zip(p, r)]
+        return pd.DataFrame(out, columns=["edits", "words"])
+    return df.select(run(pred, ref).alias("x")).agg((100 * F.sum("x.edits") / F.nullif(F.sum("x.words"), F.lit(0.0))).alias("ter"))
+
+
+def word_edits(a: list[str], b: list[str]) -> int:
+    """Levenshtein distance over words."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def shift_edits(hyp: list[str], ref: list[str], max_size: int = 10, max_distance: int = 50) -> int:
+    """Edits plus shifts: as long as moving a block that occurs in the reference lowers the distance."""
+    shifts, cost = 0, word_edits(hyp, ref)
+    while cost:
+        best = None
+        for i in range(len(hyp)):
+            for n in range(1, min(max_size, len(hyp) - i) + 1):
+                block = hyp[i:i + n]
+                spots = [j for j in range(len(ref) - n + 1) if ref[j:j + n] == block and j != i and abs(j - i) <= max_distance]
+                if not spots:
+                    break
+                rest = hyp[:i] + hyp[i + n:]
+                for j in spots:
+                    moved = rest[:j] + block + rest[j:]
+                    c = word_edits(moved, ref)
+                    if c < cost and (best is None or (c, -n) < best[0]):
+                        best = ((c, -n), moved)
+        if best is None:
+            break
+        hyp, cost, shifts = best[1], best[0][0], shifts + 1
+    return cost + shifts
 
 
 def corpus_chrf(df: DataFrame, pred: str, ref: str, key: str, order: int = 6, beta: float = 2.0) -> DataFrame:

@@ -115,6 +115,8 @@ def test_bleu_and_chrf(spark):
     assert abs(M.corpus_bleu(d, "p", "r", "k").first()[0] - py_bleu(pairs)) < 1e-9
     assert M.corpus_chrf(d.withColumn("r", F.col("p")), "p", "r", "k").first()[0] == pytest.approx(100.0)
     assert 0 < M.corpus_chrf(d, "p", "r", "k").first()[0] < 100
+    assert M.shift_edits("b c a".split(), "a b c".split()) == 1 and M.shift_edits("a x c".split(), "a b c".split()) == 1
+    assert M.corpus_ter(spark.createDataFrame([("b c a", "a b c"), ("a b", "a b c")], "p string, r string"), "p", "r").first()[0] == pytest.approx(100 * 2 / 6)
 
 
 def test_answers_and_confusion(spark):
