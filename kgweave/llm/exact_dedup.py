@@ -106,7 +106,8 @@ def deduplicate(docs: DataFrame, in_snapshot: F.Column, key: str = "doc_id", tex
     many = groups.where("copies > 1").select("digest", "keep_id")
     texts = save(rows.select("doc_id", digest("text").alias("digest"), "text").join(many, "digest"), "texts")
     stay = texts.where("doc_id <=> keep_id").select("digest", F.col("text").alias("kept_text"))
-    unlike = save(texts.join(stay, "digest").where("text <> kept_text").select("digest").distinct(), "unlike")
+    # written before it is made distinct: an aggregate in the join's stage would keep a hot digest in one task
+    unlike = save(save(texts.join(stay, "digest").where("text <> kept_text").select("digest"), "differing").distinct(), "unlike")
 
     settled = (made.join(unlike, "digest", "left_anti").join(groups, "digest")
                .select("doc_id", "keep_id", F.col("copies").alias("group_size"), "text_sha256"))
