@@ -10,10 +10,11 @@ How the plan stays linear in hot groups:
 
 * equal shingle sets are one class before anything is banded;
 * a half that only one class has is dropped before halves are combined (a shared table needs both shared);
-* each class is first compared with the smallest class of its buckets only (one pair per class); then only
-  pairs of one bucket that are still in different components are compared, after a test of size and of a
-  4-bit sketch of every min-hash inside the join condition, so only likely links become rows. Pairs that
-  are already connected are never formed, and no pair that could join two components is skipped.
+* each class is first compared with one leader of its buckets only, twice: with the class that meets most
+  others, then by hash with one of another component. Only pairs that are still in different components are
+  compared after that, each in one bucket, and the join condition itself tests sizes, a 4-bit sketch of
+  every min-hash and a bitmap bound on the intersection, so only likely links become rows. Pairs that are
+  already connected are never formed, and no pair that could join two components is skipped.
 """
 from __future__ import annotations
 
@@ -29,6 +30,8 @@ SIDE, HASHES = 16, 3
 #: (expected 73.5, standard deviation 4.2)
 AGREE = 53
 PERCENT = 75
+#: bins of the bitmap bound
+BITS = 2048
 _U = np.uint64
 
 
@@ -102,8 +105,23 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
             .where(F.lit(100) * F.col("i") >= F.lit(percent) * (F.col("t") - F.col("i"))).select("a", "b"))
 
 
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """(doc_id, bits): which of `BITS` hash bins each set touches, as an array of longs."""
+    def run(batches):
+        for batch in batches:
+            out = np.zeros((batch.num_rows, BITS // 64), _U)
+            for row, s in zip(out, batch.column(1)):
+                bins = s.values.to_numpy().view(_U) >> _U(64 - BITS.bit_length() + 1)
+                np.bitwise_or.at(row, (bins >> _U(6)).astype(np.int64), _U(1) << (bins & _U(63)))
+            at = np.arange(0, out.size + 1, BITS // 64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), int_lists(out.ravel(), at)], names=["doc_id", "bits"])
+
+    return tasks(sets.select("doc_id", "shingles"), run, "doc_id long, bits array<long>")
+
+
 def alike(l: str, r: str) -> F.Column:
-    """Set sizes within the ratio and enough equal 4-bit sketch places, on two aliases."""
+    """May two aliases be linked? Set sizes within the ratio; enough equal 4-bit sketch places; and the
+    bound |A and B| <= |A| - (bins of A that B lacks), which never rejects a link."""
     ones = F.lit(0x1111111111111111)
     differ = F.lit(0)
     for w in range(6):
@@ -111,8 +129,28 @@ def alike(l: str, r: str) -> F.Column:
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
         differ = differ + F.bit_count(x.bitwiseAND(ones))
-    sizes = (F.lit(100) * F.least(f"{l}.n", f"{r}.n") >= F.lit(PERCENT) * F.greatest(f"{l}.n", f"{r}.n"))
-    return sizes & (differ <= F.lit(16 * 6 - AGREE))
+    only_l = only_r = F.lit(0)
+    for k in range(BITS // 64):
+        x, y = F.col(f"{l}.bits")[k], F.col(f"{r}.bits")[k]
+        both = x.bitwiseAND(y)
+        only_l, only_r = only_l + F.bit_count(x.bitwiseXOR(both)), only_r + F.bit_count(y.bitwiseXOR(both))
+    nl, nr = F.col(f"{l}.n"), F.col(f"{r}.n")
+    most = F.least(nl - only_l, nr - only_r)
+    return ((F.lit(100) * F.least(nl, nr) >= F.lit(PERCENT) * F.greatest(nl, nr)) & (differ <= F.lit(16 * 6 - AGREE))
+            & (F.lit(100) * most >= F.lit(PERCENT) * (nl + nr - most)))
+
+
+def leaders(placed: DataFrame, groups: DataFrame | None, order: F.Column) -> DataFrame:
+    """One pair (a, b) for each class b that shares a bucket with another component: a, the class that
+    comes first by ``order`` in one of its buckets, the first of these leaders over all its buckets."""
+    rows = placed.withColumn("o", order)
+    if groups is not None:
+        rows = (rows.join(groups, F.col("class_id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "class_id")).drop("node", "component"))
+    else:
+        rows = rows.withColumn("c", F.col("class_id"))
+    first = rows.groupBy("bucket").agg(F.min(F.struct("o", "class_id", "c")).alias("first"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket", "first")
+    return (rows.join(first, "bucket").where("first.c <> c").groupBy("class_id").agg(F.min("first").alias("first"))
+            .select(F.col("first.class_id").alias("a"), F.col("class_id").alias("b")))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -127,7 +165,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     made = save(sketches(docs), "sketches")
     identity = ["set_a", "set_b", "n"]
-    classes = made.where("n > 0 AND doc_id IS NOT NULL").groupBy(identity).agg(F.min("doc_id").alias("class_id"))
+    classes = save(made.where("n > 0 AND doc_id IS NOT NULL").groupBy(identity).agg(F.min("doc_id").alias("class_id")), "sets")
     member = save(made.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", *identity).join(classes, identity).select("doc_id", "n", "class_id"), "classes")
     head = member.where("doc_id = class_id").select("class_id").distinct()
     sign = save(made.join(head, made.doc_id == head.class_id).dropDuplicates(["class_id"])
@@ -140,23 +178,35 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                   F.collect_list(F.when(F.col("i") >= SIDE, F.col("half"))).alias("vs")))
     tables = save(parts.select("class_id", F.explode("us").alias("u"), "vs").select("class_id", "u", F.explode("vs").alias("v"))
                   .select("class_id", F.xxhash64("u", "v").alias("bucket")), "tables")
-    buckets = tables.groupBy("bucket").agg(F.min("class_id").alias("leader"), F.count("*").alias("c")).where("c > 1").select("bucket", "leader")
-    placed = save(tables.join(buckets, "bucket"), "buckets")
-
-    sets = save(full_sets(docs, placed.select(F.col("class_id").alias("doc_id")).distinct()).dropDuplicates(["doc_id"]), "sets")
-    star = placed.where("class_id <> leader").groupBy("class_id").agg(F.min("leader").alias("a")).select("a", F.col("class_id").alias("b"))
-    first = save(confirmed(star, sets), "links")
-    groups = save(components(first), "components")
-
-    named = (placed.select("bucket", "class_id").join(groups, F.col("class_id") == F.col("node"), "left")
-             .select("bucket", "class_id", F.coalesce("component", "class_id").alias("c")))
-    open_ = named.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
-    rest = save(named.join(open_, "bucket", "left_semi").join(sign.drop("halves"), "class_id"), "open")
+    buckets = tables.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket", "c")
+    shares = save(tables.join(buckets, "bucket"), "shares")
+    central = save(shares.groupBy("class_id").agg(F.sum("c").alias("score")), "scores")
+    placed = save(shares.select("bucket", "class_id").join(central, "class_id"), "buckets")
+
+    sets = save(full_sets(docs, central.select(F.col("class_id").alias("doc_id"))).dropDuplicates(["doc_id"]), "sets")
+    links = save(confirmed(leaders(placed, None, -F.col("score")), sets), "links")
+    groups = save(components(links), "components")
+    more = save(confirmed(leaders(placed, groups, F.xxhash64("class_id")), sets), "links")
+    links = links.unionByName(more)
+    groups = save(components(links), "components")
+
+    # pairs of different components that share a left and a right half, each formed in its first shared left half only
+    maps = bitmaps(sets).withColumnRenamed("doc_id", "class_id")
+    named = (sign.join(central.select("class_id"), "class_id").join(maps, "class_id").join(groups, F.col("class_id") == F.col("node"), "left")
+             .select("class_id", "n", F.coalesce("component", "class_id").alias("c"), F.slice("halves", 1, SIDE).alias("us"),
+                     F.slice("halves", SIDE + 1, SIDE).alias("vs"), "bits", *(f"s{w}" for w in range(6))))
+    named = save(named, "named")
+    spread = named.select("*", F.posexplode("us").alias("i", "u"))
+    open_ = save(spread.groupBy("u").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("u"), "open")
+    rest = save(spread.join(open_, "u", "left_semi"), "rest")
     l, r = rest.alias("l"), rest.alias("r")
-    cross = (l.join(r, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.class_id") < F.col("r.class_id")) & (F.col("l.c") != F.col("r.c")) & alike("l", "r"))
-             .select(F.col("l.class_id").alias("a"), F.col("r.class_id").alias("b")).distinct())
-    second = confirmed(cross, sets)
-    linked = save(components(first.unionByName(second)), "components")
+    new = F.lit(True)
+    for k in range(SIDE - 1):
+        new = new & ((F.col("l.i") <= k) | (F.col("l.us")[k] != F.col("r.us")[k]))
+    cross = (l.join(r, (F.col("l.u") == F.col("r.u")) & (F.col("l.class_id") < F.col("r.class_id")) & (F.col("l.c") != F.col("r.c"))
+                    & new & alike("l", "r") & F.arrays_overlap("l.vs", "r.vs"))
+             .select(F.col("l.class_id").alias("a"), F.col("r.class_id").alias("b")))
+    linked = save(components(links.unionByName(confirmed(save(cross, "cross"), sets))), "components")
 
     out = member.join(linked, member.class_id == linked.node, "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"))
