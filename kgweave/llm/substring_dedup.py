@@ -170,7 +170,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     seen = counted.where("part IS NULL")
-    same = seen.groupBy("n", "seq_a", "seq_b").agg(F.min("doc_id").alias("lead"), F.count("*").alias("c")).where("c > 1")
+    # written first, so that the join below has exchanges of its own whose hot keys can be split
+    same = save(seen.groupBy("n", "seq_a", "seq_b").agg(F.min("doc_id").alias("lead"), F.count("*").alias("c")).where("c > 1"), "same")
     copies = save(seen.join(same, ["n", "seq_a", "seq_b"]).where("doc_id > lead").select("doc_id", F.lit(True).alias("copy")), "copies")
     found = repeated_windows(known.join(copies, "doc_id", "left_anti"), shared, width, window, gram)
     multi = save(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo"), "repeated")
