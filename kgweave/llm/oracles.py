@@ -44,3 +44,24 @@ kept AS (SELECT w.doc_id, len(ws) AS n_words, coalesce(len(ats), 0) AS n_removed
   FROM w LEFT JOIN lost USING (doc_id))
 SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(kept_words, ' '), '')) AS kept_sha256 FROM kept
 """
+
+ORACLES["op5_url_filter"] = """
+WITH rules(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+                               ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+rest AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN url[instr(url, '://') + 3:] ELSE '' END AS r FROM pages),
+parts AS (SELECT page_id, row_number() OVER () AS n,
+    translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest)
+SELECT page_id, host, path, h || p AS rule, coalesce(v, 'allow') AS verdict
+FROM parts LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+QUALIFY row_number() OVER (PARTITION BY n ORDER BY length(h || p) DESC NULLS LAST) = 1
+"""
+
+ORACLES["op9_topk"] = """
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""

@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, minhash_dedup, mixing, packing, quality_rules, substring_dedup
+from . import exact_dedup, html_lstm, minhash_dedup, mixing, packing, quality_rules, substring_dedup, topk, url_filter
 from .oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,17 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.without_repeats(table(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@query
+def op4_html_lstm(spark: SparkSession, folder: str) -> DataFrame:
+    return html_lstm.extract(table(spark, folder, "pages"))
+
+
+@query
+def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    return url_filter.judge(table(spark, folder, "pages"), rules)
+
+
 @query
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -45,6 +56,12 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, folder, "documents"), exact_dedup.arrived_before())
 
 
+@query
+def op9_topk(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 @query
 def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
