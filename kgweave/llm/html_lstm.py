@@ -181,20 +181,18 @@ class Labeller:
         g = {"V": np.einsum("tnh,tno->ho", both, dz), "c": dz.sum((0, 1))}
         dh_all = dz @ self.p["V"].T
         for d, memo, part in (("f", mf, dh_all[:, :, :HIDDEN]), ("b", mb, dh_all[:, :, HIDDEN:])):
-            gw, gu = np.zeros_like(self.p["W" + d]), np.zeros_like(self.p["U" + d])
-            gb = np.zeros_like(self.p["b" + d])
-            dh = np.zeros((x.shape[1], HIDDEN), np.float64)
+            pre, before = np.zeros((*x.shape[:2], 4 * HIDDEN)), np.zeros((*x.shape[:2], HIDDEN))
+            dh = np.zeros((x.shape[1], HIDDEN))
             dc = np.zeros_like(dh)
             for k, h0, c0, i, f, o, u, th, m in reversed(memo):
                 dh = dh + part[k]
                 dm, hold, dhold = dh * m, dh * (1 - m), dc * (1 - m)
                 dc2 = dc * m + dm * o * (1 - th ** 2)
                 da = np.concatenate([dc2 * u * i * (1 - i), dc2 * c0 * f * (1 - f), dm * th * o * (1 - o), dc2 * i * (1 - u ** 2)], 1)
-                gw += x[k].T @ da
-                gu += h0.T @ da
-                gb += da.sum(0)
+                pre[k], before[k] = da, h0
                 dh, dc = da @ self.p["U" + d].T + hold, dc2 * f + dhold
-            g |= {"W" + d: gw, "U" + d: gu, "b" + d: gb}
+            flat = pre.reshape(-1, 4 * HIDDEN)
+            g |= {"W" + d: x.reshape(len(flat), -1).T @ flat, "U" + d: before.reshape(len(flat), -1).T @ flat, "b" + d: flat.sum(0)}
         return g, s
 
     def main_blocks(self, pages: list[list[Block]]) -> list[np.ndarray]:
@@ -256,7 +254,7 @@ def _varied(page: list[Block], marks: list[bool], pool: list[str], r: np.random.
         run = []
         for _ in range(int(r.integers(1, 5))):
             leaf2 = str(r.choice(leafs))
-            text = str(r.choice(pool))
+            text = pool[int(r.integers(len(pool)))]
             if r.random() < 0.5:
                 text = " ".join(text.split(" ")[: int(r.integers(1, 9))])
             run.append((Block((*top, tag) + ((leaf2,) if leaf2 else ()), text, len(text) if r.random() < 0.2 else 0), False))
