@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_lstm, minhash_dedup, mixing, packing, quality_rules, substring_dedup, topk, url_filter
+from . import exact_dedup, html_lstm, minhash_dedup, mixing, packing, pii_surrogates, quality_rules, substring_dedup, topk, url_filter
 from .oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,11 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.without_repeats(table(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@query
+def op3_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    return pii_surrogates.replace_entities(table(spark, folder, "documents"))
+
+
 @query
 def op4_html_lstm(spark: SparkSession, folder: str) -> DataFrame:
     return html_lstm.extract(table(spark, folder, "pages"))
