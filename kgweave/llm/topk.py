@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import save
 
-BLOCK_ROWS, QUERY_ROWS = 4_096, 1_024
-LEVELS = 16
+BLOCK_ROWS, QUERY_ROWS = 16_384, 1_024
+LEVELS = 12
 SCALE = 256
 
 
@@ -70,25 +70,24 @@ def best_in_block(q: np.ndarray, own: int, ids: np.ndarray, m: np.ndarray, segs:
     blur = np.zeros(len(q), np.int64)
     np.maximum.at(blur, d, slack)
     visit = np.argsort(-gain, kind="stable")
-    # still[i]: the most that a row can gain in total after i visits
-    best_left = np.zeros(len(q), np.int64)
-    last = np.zeros(len(visit), np.int64)
-    for i in range(len(visit) - 1, -1, -1):
-        s = visit[i]
-        last[i] = best_left[d[s]]
-        best_left[d[s]] = max(best_left[d[s]], gain[s])
-    rest = int(best_left.sum())
+    # what a row can still gain in a segment's dimension once it is visited: the next segment's gain
+    by_dim = visit[np.argsort(d[visit], kind="stable")]
+    after = np.zeros(len(visit), np.int64)
+    after[by_dim[:-1]] = np.where(d[by_dim[1:]] == d[by_dim[:-1]], gain[by_dim[1:]], 0)
+    first = np.flatnonzero(np.diff(d[by_dim], prepend=-1))
+    rest = int(gain[by_dim[first]].sum())
     acc = np.zeros(n, np.int64)
     out = np.flatnonzero(ids == own)
     spread = int(blur.sum())
     few, every = max(4 * k, n // 50), max(1, len(visit) // 24)
     may = np.ones(n, bool)
     may[out] = False
-    for i, s in enumerate(visit):
-        if not gain[s]:
+    steps = zip(gain[visit].tolist(), after[visit].tolist(), a[visit].tolist(), b[visit].tolist())
+    for i, (more, then, lo, hi) in enumerate(steps):
+        if not more:
             break  # only the worst values of each dimension are left: nothing more to gain
-        acc[posts[a[s]: b[s]]] += gain[s]
-        rest += last[i] - gain[s]
+        acc[posts[lo:hi]] += more
+        rest += then - more
         if i % every == every - 1 and i > len(visit) // 3:
             acc_k = acc.copy()
             acc_k[out] = -1
