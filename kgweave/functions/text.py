@@ -150,12 +150,13 @@ def first_choice_letter(c) -> Column:
 
 
 def wrong_segment_ids(answer, n_segments) -> Column:
-    """Segment numbers named after ``Answer: ``, kept when 1..n; ``ALL_CORRECT`` gives none.
+    """Segment numbers named after the first ``Answer: ``, kept when 1..n; without it, and with
+    ``ALL_CORRECT``, there are none.
 
     Number 0 is ignored: indexing with it would silently address the last segment.
     """
     t = _col(answer)
-    tail = F.substring_index(t, "Answer: ", -1)
+    tail = F.regexp_extract(t, "(?s)Answer: (.*)", 1)
     ids = F.transform(F.regexp_extract_all(tail, F.lit(r"\d+"), 0), lambda x: F.try_to_number(x, F.lit("9999999999")).cast("bigint"))
     ok = F.filter(ids, lambda x: (x >= 1) & (x <= _col(n_segments)))
     return F.when(F.contains(t, F.lit("ALL_CORRECT")), F.array().cast("array<bigint>")).otherwise(F.array_distinct(ok))

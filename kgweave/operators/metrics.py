@@ -243,13 +243,18 @@ def compare_runs(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 # ---- groups of tasks ----------------------------------------------------------------------------
 
-def group_closure(members: DataFrame, max_depth: int = 20) -> DataFrame:
-    """(grp, task) for every task below a group at any depth. ``members``: grp, member."""
+def group_closure(members: DataFrame) -> DataFrame:
+    """(grp, task) for every task below a group at any depth. ``members``: grp, member.
+
+    A group that contains itself at some depth is an error.
+    """
     step = members.select("grp", "member")
     every = step
-    for _ in range(max_depth):
+    while True:
+        if not step.filter("grp = member").isEmpty():
+            raise ValueError("a group contains itself")
         step = cut_lineage(step.join(members.select(F.col("grp").alias("member"), F.col("member").alias("_m")), "member").select(
-            "grp", F.col("_m").alias("member")))
+            "grp", F.col("_m").alias("member")).distinct())
         if step.isEmpty():
             break
         every = every.unionByName(step)

@@ -78,7 +78,11 @@ def respond(reqs: DataFrame, task: Task, make_model: Callable[[], TaskModel]) ->
 
 
 def score(responses: DataFrame, task: Task) -> DataFrame:
-    """Per-document metric rows (task, doc_id, metric, value); lists hold one document's choices."""
+    """Per-document metric rows (task, doc_id, metric, value, weight); lists hold one document's choices.
+
+    The weight of a rolling likelihood is the number of words or bytes it covers.
+    """
+    units: dict[str, Column] = {}
     listed = F.transform(F.array_sort(F.collect_list(F.struct("idx", "resp"))), lambda x: x["resp"])
     firsts = [F.first(c).alias(c) for c in ("gold", "choices", "prompt") if c in responses.columns]
     d = responses.groupBy("task", "doc_id").agg(listed.alias("resps"), *firsts)
@@ -87,20 +91,32 @@ def score(responses: DataFrame, task: Task) -> DataFrame:
     elif task.kind == "rolling":
         from ..functions.text import utf8_bytes, word_count
         r = F.get("resps", F.lit(0))
-        cols = {"word_perplexity": r / word_count("prompt"), "byte_perplexity": r / utf8_bytes("prompt")}
+        units = {"word_perplexity": word_count("prompt"), "byte_perplexity": utf8_bytes("prompt"), "bits_per_byte": utf8_bytes("prompt")}
+        cols = dict.fromkeys(units, r)
     else:
         value = F.col("resps")
         for name, args in task.filters:
             value = FILTERS[name](value, **args)
         cols = {"exact_match": METRICS["exact_match"](value, F.col("gold"), **task.options)}
-    use = {k: v for k, v in cols.items() if k in task.metrics}
-    return d.select("task", "doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in use.items()])).alias("m")).select(
+    use = {k: F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value"), units.get(k, F.lit(1)).cast("double").alias("weight"))
+           for k, v in cols.items() if k in task.metrics}
+    return d.select("task", "doc_id", F.explode(F.array(*use.values())).alias("m")).select(
         "task", "doc_id", "m.*")
 
 
 def aggregate(scores: DataFrame) -> DataFrame:
-    """Task results: mean, standard error and size per metric."""
-    return scores.groupBy("task", "metric").agg(M.mean("value").alias("value"), M.mean_stderr("value").alias("stderr"), F.count("*").alias("size"))
+    """Task results: value, standard error and size per metric.
+
+    Perplexities and bits per byte come from the sums of likelihoods and of units and have no standard
+    error here; every other metric is a mean.
+    """
+    perplexity = F.col("metric").isin("word_perplexity", "byte_perplexity")
+    weighted = perplexity | (F.col("metric") == "bits_per_byte")
+    found = scores.groupBy("task", "metric").agg(
+        M.mean("value").alias("mean"), M.weighted_perplexity("value", "weight").alias("perplexity"), M.bits_per_byte("value", "weight").alias("bits"),
+        M.mean_stderr("value").alias("stderr"), F.count("*").alias("size"))
+    return found.select("task", "metric", F.when(perplexity, F.col("perplexity")).when(weighted, F.col("bits")).otherwise(F.col("mean")).alias("value"),
+                        F.when(~weighted, F.col("stderr")).alias("stderr"), "size")
 
 
 def evaluate(docs: dict[str, DataFrame], tasks: list[Task], make_model: Callable[[], TaskModel], key: str,

@@ -144,11 +144,13 @@ def read_questions(spark: SparkSession, path, kind: str = "hotpot", samples: int
     return out.filter(F.col("pos") < samples) if samples else out
 
 
-def read_question_contexts(spark: SparkSession, path, samples: int = 1000) -> DataFrame:
-    """Context paragraphs of the first samples as documents: (doc_no, title, text, question)."""
+def read_question_contexts(spark: SparkSession, path, samples: int | None = None) -> DataFrame:
+    """Context paragraphs as documents: (doc_no, title, text, question); of the first ``samples`` only, if given."""
     ctx = F.from_json("context", "array<array<string>>")
     df = spark.read.schema(SC.QA_HOTPOT).json(path, multiLine=True).withColumn("_o", F.monotonically_increasing_id())
-    head = dense_index(df, ["_o"], "sample").filter(F.col("sample") < samples)
+    head = dense_index(df, ["_o"], "sample")
+    if samples is not None:
+        head = head.filter(F.col("sample") < samples)
     rows = head.select("sample", "question", F.posexplode(ctx).alias("place", "c")).select(
         "sample", "place", "question", F.get("c", F.lit(0)).alias("title"),
         F.array_join(F.from_json(F.get("c", F.lit(1)), "array<string>"), " ").alias("text"))

@@ -156,8 +156,6 @@ def test_matching_and_fuzzy(spark):
     got = rows(Q.matched_scores(d, "k", "g", "p"))
     t = 1 + 2 / 3
     assert got[0] == (1, pytest.approx(t / 3), pytest.approx(t / 2), pytest.approx(2 * (t / 3) * (t / 2) / (t / 3 + t / 2))) and got[1] == (2, 0, 0, 0)
-    lab = lambda *x: spark.createDataFrame([(i,) for i in x], "label string")
-    assert Q.global_coverage(lab("a", "b"), lab("b", "c")) == 0.5 and Q.global_coverage(lab("a").filter("false"), lab("b")) == 1.0
     f = spark.createDataFrame([("Annx", ["Ann", "Bob"]), ("Bob", ["Bobb", "Bob"]), ("zz", ["Ann"])], "w string, c array<string>")
     assert rows(Q.fuzzy_keywords(f, "w", "c", "m"), "w", "m") == [("Annx", "Ann"), ("Bob", "Bob"), ("zz", None)]
     ch = spark.createDataFrame([(["so (B)", "I pick Red.", "final: A", "?"], ["red", "blue"])], "r array<string>, c array<string>")
@@ -309,8 +307,17 @@ def test_task_evaluation(spark):
     res, grp = E.evaluate({"mc": d, "gen": d}, [mc, gen], E.LengthModel, "id", groups)
     assert {(t, m): v for t, m, v in rows(res, "task", "metric", "value")} == {("mc", "acc"): .5, ("mc", "acc_norm"): 0.0, ("gen", "exact_match"): .5}
     assert grp.filter("metric = 'acc'").first().value == .5
-    roll = E.Task("r", "rolling", lambda: F.col("q"), lambda: F.lit(0), metrics=("byte_perplexity",))
-    assert E.evaluate({"r": d}, [roll], E.LengthModel, "id")[0].first().value == -1.0
+    roll = E.Task("r", "rolling", lambda: F.col("q"), lambda: F.lit(0), metrics=("byte_perplexity", "bits_per_byte"))
+    # the stand-in's likelihood is minus the number of characters, one byte each
+    got = {r.metric: r.value for r in E.evaluate({"r": d}, [roll], E.LengthModel, "id")[0].collect()}
+    assert got == {"byte_perplexity": pytest.approx(math.e), "bits_per_byte": pytest.approx(1 / math.log(2))}
     cost = E.estimate_cost(E.requests(d, gen, "id"), "generate", lambda c: F.size(tokens(c)))
     assert cost.first().tokens == 6 * (2 + 256)
     assert len(E.document_hashes(d, "q", "q", "q").first().doc_hash) == 64
+
+
+def test_group_closure_is_deep_and_rejects_cycles(spark):
+    chain = spark.createDataFrame([(f"g{i}", f"g{i + 1}") for i in range(24)] + [("g24", "task")], "grp string, member string")
+    assert M.group_closure(chain).filter("grp = 'g0'").first().task == "task"
+    with pytest.raises(ValueError):
+        M.group_closure(spark.createDataFrame([("a", "b"), ("b", "a")], "grp string, member string"))

@@ -325,3 +325,13 @@ def test_cells_with_all_probes_are_exact(spark):
     c = V.train_cells(vec, 4, rounds=3)
     assert rows(V.cell_search(qs, vec, c, 5, probes=4), "query_id", "id") == rows(V.topk(qs, vec, 5), "query_id", "id")
     assert V.assign_cells(vec, c).count() == 200
+
+
+def test_long_chains_are_followed_to_their_end(spark):
+    n = 400
+    e = spark.createDataFrame([(i, i + 1) for i in range(n)], "src long, dst long")
+    v = spark.range(n + 1)
+    assert R.connected_components(e, v).select("component").distinct().count() == 1
+    s = R.walk_sample(e, spark.createDataFrame([(0,), (395,)], "id long"), area=30)
+    got = {k: sorted(r.id for r in s.collect() if r.source == k) for k in (0, 395)}
+    assert len(got[0]) == 30 and got[395] == [395, 396, 397, 398, 399, 400]

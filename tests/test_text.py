@@ -50,6 +50,8 @@ def test_listing_and_paths(spark):
     assert [(r.relation, r.concepts) for r in got] == [("born", ["people", "person"]), ("name", ["loc", "place"])]
     assert one(spark, "Answer: 1, 9, 0, 3", lambda c: T.wrong_segment_ids(c, F.lit(5))) == [1, 3]
     assert one(spark, "ALL_CORRECT", lambda c: T.wrong_segment_ids(c, F.lit(5))) == []
+    assert one(spark, "I checked 2 facts and 3 sources.", lambda c: T.wrong_segment_ids(c, F.lit(5))) == []
+    assert one(spark, "Answer: 1\nAnswer: 2", lambda c: T.wrong_segment_ids(c, F.lit(5))) == [1, 2]
 
 
 def test_ratings_and_filters(spark):
