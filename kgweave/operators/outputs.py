@@ -40,7 +40,7 @@ def _attempts(t: str):
     yield plain
     yield re.sub(r"(?<![\w])'|'(?![\w])", '"', plain)
     # cut back to the last complete object and close what is open
-    for cut in [m.end() for m in re.finditer(r"[}\]]", plain)][::-1][:50]:
+    for cut in [m.end() for m in re.finditer(r"[}\]]", plain)][::-1]:
         part, stack, quoted, skip = plain[:cut], [], False, False
         for ch in part:
             if skip:
@@ -56,87 +56,79 @@ def _attempts(t: str):
         yield part + "".join(reversed(stack))
 
 
-def _plain(key: str) -> str:
-    return re.sub(r"[^a-z]", "", key.lower())
+def parsed(text) -> Column:
+    """A response as VARIANT: read as it is, or after mending damaged JSON; NULL when nothing is usable."""
+    @F.pandas_udf("string")
+    def mended(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: json.dumps(loads_lenient(t or ""), ensure_ascii=False))
+    return F.coalesce(F.try_parse_json(text), F.try_parse_json(mended(text)))
 
 
-def corrected(items, stage: str) -> list[dict]:
-    """Objects with corrected keys; those lacking one, or repeating an earlier object, are dropped.
+def _letters(c: Column) -> Column:
+    return F.regexp_replace(F.lower(c), "[^a-z]", "")
 
-    An object whose values have the wrong type is dropped too: it could not pass validation.
-    """
-    want = STAGE_KEYS[stage]
-    out, seen = [], set()
-    for item in items if isinstance(items, list) else []:
-        if not isinstance(item, dict):
-            continue
-        fixed = {}
-        for k, v in item.items():
-            match = [w for w in want if _plain(w) in _plain(str(k))]
-            fixed[match[0] if len(match) == 1 else k] = v
-        if any(w not in fixed for w in want):
-            continue
-        if stage == "event_entity":
-            if not isinstance(fixed["Event"], str) or not fixed["Event"].strip() or not isinstance(fixed["Entity"], list) or not fixed["Entity"]:
-                continue
-            fixed["Entity"] = [e.strip() for e in fixed["Entity"] if isinstance(e, str)]
-        elif not all(isinstance(fixed[w], str) and fixed[w].strip() for w in want):
-            continue
-        key = tuple((k, str(v)) for k, v in fixed.items())
-        if key not in seen:
-            seen.add(key)
-            out.append(fixed)
-    return out
+
+def _is_text(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
+
+
+def _named(item: Column, wanted: str, others: tuple[str, ...]) -> Column:
+    """The value whose key, by its letters, names ``wanted`` and none of the other keys; the last such."""
+    entries = F.map_entries(F.try_variant_get(item, "$", "map<string,variant>"))
+
+    def names(e: Column) -> Column:
+        key, hit = _letters(e["key"]), F.lit(True)
+        for w in (wanted, *others):
+            hit = hit & (F.contains(key, F.lit(w.lower())) if w == wanted else ~F.contains(key, F.lit(w.lower())))
+        return hit
+    return F.try_element_at(F.filter(entries, names), F.lit(-1))["value"]
+
+
+def stage_items(v: Column, stage: str) -> Column:
+    """Distinct objects of a stage with its keys alone; those that lack one or hold another type are left out."""
+    keys = STAGE_KEYS[stage]
+    value = {k: (lambda x, k=k: _named(x, k, tuple(o for o in keys if o != k))) for k in keys}
+    text = lambda x, k: F.try_variant_get(value[k](x), "$", "string")
+    fine = lambda x, k: _is_text(value[k](x)) & F.coalesce(F.trim(text(x, k)) != "", F.lit(False))
+    if stage == "event_entity":
+        members = lambda x: F.try_variant_get(value["Entity"](x), "$", "array<variant>")
+        names = lambda x: F.transform(F.filter(members(x), _is_text), lambda m: F.trim(F.try_variant_get(m, "$", "string")))
+        ok = lambda x: fine(x, "Event") & F.coalesce(F.size(members(x)) > 0, F.lit(False))
+        made = lambda x: F.struct(text(x, "Event").alias("Event"), names(x).alias("Entity"))
+    else:
+        ok = lambda x: fine(x, keys[0]) & fine(x, keys[1]) & fine(x, keys[2])
+        made = lambda x: F.struct(*[text(x, k).alias(k) for k in keys])
+    return F.array_distinct(F.transform(F.filter(F.try_variant_get(v, "$", "array<variant>"), ok), made))
 
 
 def repaired(df: DataFrame, response: str, out: str, stage: str) -> DataFrame:
     """Validated JSON array text of a stage's response; ``[]`` when nothing is usable."""
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        def one(t):
-            t = t or ""
-            t = t if "[" in t else "[" + t.strip() + "]"
-            return json.dumps(corrected(loads_lenient(t), stage), ensure_ascii=False)
-        return s.map(one)
-    return df.withColumn(out, run(response))
+    text = F.coalesce(F.col(response), F.lit(""))
+    text = F.when(F.contains(text, F.lit("[")), text).otherwise(F.concat(F.lit("["), F.trim(text), F.lit("]")))
+    return df.withColumn("_text", text).withColumn("_v", parsed("_text")).withColumn(
+        out, F.coalesce(F.to_json(stage_items(F.col("_v"), stage)), F.lit("[]"))).drop("_text", "_v")
+
+
+# a JSON text, and a list of exactly three of them: such a list holds no other list, so the first one in the
+# item's own text is also the first in depth-first order
+_TEXT = r'"(?:[^"\\]|\\.)*"'
+_TRIPLE = rf"\[\s*{_TEXT}\s*,\s*{_TEXT}\s*,\s*{_TEXT}\s*\]"
 
 
 def first_triplets(df: DataFrame, response: str, out: str) -> DataFrame:
     """Facts of a filter answer: in each item the first list of exactly three texts, however nested."""
-    @F.pandas_udf("array<array<string>>")
-    def run(s: pd.Series) -> pd.Series:
-        def find(x):
-            if isinstance(x, list):
-                if len(x) == 3 and all(isinstance(i, str) for i in x):
-                    return x
-                for i in x:
-                    hit = find(i)
-                    if hit:
-                        return hit
-            return None
-
-        def one(t):
-            d = loads_lenient(t or "")
-            facts = d.get("fact", []) if isinstance(d, dict) else []
-            return [f for f in (find(i) for i in facts) if f]
-        return s.map(one)
-    return df.withColumn(out, run(response))
+    items = F.try_variant_get("_v", "$.fact", "array<variant>")
+    found = F.transform(items, lambda x: F.regexp_extract(F.to_json(x), _TRIPLE, 0))
+    lists = F.transform(F.filter(found, lambda t: t != ""), lambda t: F.from_json(t, "array<string>"))
+    return df.withColumn("_v", parsed(response)).withColumn(out, F.coalesce(lists, F.array().cast("array<array<string>>"))).drop("_v")
 
 
 def keywords(df: DataFrame, response: str, out: str) -> DataFrame:
     """Flat list of the texts under ``keywords``, overlong ones left out."""
-    @F.pandas_udf("array<string>")
-    def run(s: pd.Series) -> pd.Series:
-        def flat(x):
-            if isinstance(x, str):
-                return [x] if len(x) <= MAX_KEYWORD else []
-            return [y for i in x for y in flat(i)] if isinstance(x, list) else []
-
-        def one(t):
-            d = loads_lenient(t or "")
-            return flat(d.get("keywords", [])) if isinstance(d, dict) else []
-        return s.map(one)
-    return df.withColumn(out, run(response))
+    listed = F.regexp_replace(F.to_json(F.try_variant_get("_v", "$.keywords", "variant")), r"\{[^{}]*\}", "null")
+    texts = F.from_json(F.concat(F.lit("["), F.array_join(F.regexp_extract_all(listed, F.lit(_TEXT), F.lit(0)), ","), F.lit("]")), "array<string>")
+    short = F.filter(texts, lambda t: F.length(t) <= MAX_KEYWORD)
+    return df.withColumn("_v", parsed(response)).withColumn(out, F.coalesce(short, F.array().cast("array<string>"))).drop("_v")
 
 
 def valid_stage(json_text, stage: str) -> Column:

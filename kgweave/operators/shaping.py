@@ -1,6 +1,8 @@
 """Document filters, chunking, sharding, batching and sample limits."""
 from __future__ import annotations
 
+import bisect
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -51,23 +53,30 @@ def chunk_documents(docs: DataFrame, text: str = "text", width: int | None = Non
     return docs.select(*keep, F.posexplode(fixed_chunks(src, width)).alias("chunk_id", text))
 
 
+def sentence_ends(text: str, size: int = SENTENCE_CHUNK, overlap: int = SENTENCE_OVERLAP) -> Iterator[tuple[int, int]]:
+    """(start, end) of the windows of a text longer than ``size``.
+
+    A window ends behind its last full stop if that lies in its second half, else after ``size``
+    characters; the next one starts ``overlap`` characters before that end. Full stops are found
+    once, and each window looks its last one up by bisection.
+    """
+    stops = [m.end() for m in re.finditer(r"\.", text)]
+    start = 0
+    while start < len(text):
+        end = start + size
+        if end < len(text):
+            last = bisect.bisect_right(stops, end)
+            if last and stops[last - 1] > start + size // 2 + 1:
+                end = stops[last - 1]
+        yield start, end
+        start = max(end - overlap, start + 1)
+
+
 def sentence_spans(text: str, size: int = SENTENCE_CHUNK, overlap: int = SENTENCE_OVERLAP) -> list[str]:
     """Overlapping chunks that prefer to end at a full stop in their second half."""
-    n = len(text)
-    if n <= size:
+    if len(text) <= size:
         return [text]
-    out, at = [], 0
-    while at < n:
-        stop = at + size
-        if stop < n:
-            dot = text.rfind(".", at, stop)
-            if dot > at + size // 2:
-                stop = dot + 1
-        piece = text[at:stop].strip()
-        if piece:
-            out.append(piece)
-        at = max(stop - overlap, at + 1)
-    return out
+    return [piece for a, b in sentence_ends(text, size, overlap) if (piece := text[a:b].strip())]
 
 
 def sentence_chunks(docs: DataFrame, text: str = "text", size: int = SENTENCE_CHUNK,

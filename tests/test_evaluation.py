@@ -240,11 +240,11 @@ def test_output_repair(spark):
              '[{"Head":1,"Relation":"r","Tail":"b"}]']
     d = spark.createDataFrame(list(enumerate(cases)), "i int, t string")
     got = dict(rows(O.repaired(d, "t", "o", "entity_relation"), "i", "o"))
-    one = '[{"Head": "a", "Relation": "r", "Tail": "b"}]'
+    one = '[{"Head":"a","Relation":"r","Tail":"b"}]'
     assert got == {0: one, 1: one, 2: one, 3: one, 4: "[]", 5: "[]", 6: "[]"}
     ev = spark.createDataFrame([('[{"Event":"e","Entity":[" a ",3]},{"Event":"e","Entity":[]}]',)], "t string")
     fixed = O.repaired(ev, "t", "o", "event_entity")
-    assert fixed.first().o == '[{"Event": "e", "Entity": ["a"]}]'
+    assert fixed.first().o == '[{"Event":"e","Entity":["a"]}]'
     assert fixed.select(O.valid_stage("o", "event_entity"), O.valid_stage("t", "event_entity"), O.valid_stage(F.lit('[{"Head":1}]'), "entity_relation")).first()[:] == (True, False, False)
     f = spark.createDataFrame([('{"fact": [["a","b","c"], [[["x","y","z"]], 1], ["a","b"], [1,2,3], "q"]}',), ("no",)], "t string")
     assert [r.o for r in O.first_triplets(f, "t", "o").collect()] == [[["a", "b", "c"], ["x", "y", "z"]], []]
