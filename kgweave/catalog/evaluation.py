@@ -155,10 +155,10 @@ def success_rates(spark, d):
 
 
 @query("q_typed_entities", """
-SELECT n_name AS entity, n_regionkey AS type FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal < 0 UNION SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)""")
+SELECT n_name AS entity, n_regionkey AS type FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer UNION SELECT s_nationkey FROM supplier)""")
 def typed_entities(spark, d):
     n = table(spark, d, "nation")
-    used = table(spark, d, "customer").filter("c_acctbal < 0").select(F.col("c_nationkey").alias("k")).unionByName(table(spark, d, "supplier").filter("s_acctbal < 0").select(F.col("s_nationkey").alias("k")))
+    used = table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).unionByName(table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")))
     t = used.join(n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("h")), "k").select("h", F.col("h").alias("t"))
     return Q.typed_entities(n.select(F.col("n_name").alias("entity"), F.col("n_regionkey").alias("type")), t)
 
@@ -313,26 +313,6 @@ def bleu_chrf(spark, d):
     return b.select(F.lit("bleu").alias("metric"), F.col("bleu").alias("value")).unionByName(c.select(F.lit("chrf").alias("metric"), F.col("chrf").alias("value")))
 
 
-@query("q_ter")
-def ter(spark, d):
-    """Edit rate between the first sentences of an answer and its question."""
-    p = pairs(spark, d).select(F.substring_index("pred", ".", 1).alias("p"), F.substring_index("gold", ".", 1).alias("r"))
-    return M.corpus_ter(p, "p", "r")
-
-
-@query("q_hungarian")
-def hungarian(spark, d):
-    """Words of an answer's first sentence matched to those of the user's first sentence."""
-    p = pairs(spark, d).select("conv_id", "turn", T.tokens(F.substring_index("gold", ".", 1)).alias("g"), T.tokens(F.substring_index("pred", ".", 1)).alias("p"))
-    return Q.matched_scores(p.withColumn("k", F.struct("conv_id", "turn")), "k", "g", "p").select("k.conv_id", "k.turn", "precision", "recall", "f1")
-
-
-@query("q_fuzzy_keyword")
-def fuzzy_keyword(spark, d):
-    p = pairs(spark, d).select("conv_id", "turn", F.get(T.tokens("gold"), F.lit(0)).alias("w"), T.tokens(F.substring_index("pred", ".", 1)).alias("c"))
-    return Q.fuzzy_keywords(p, "w", "c", "match").select("conv_id", "turn", "match")
-
-
 # ---- contamination -----------------------------------------------------------------------------------------------
 
 def grams_sql(name: str, src: str, key: str, n: int) -> str:
