@@ -75,11 +75,11 @@ def best_in_block(q: np.ndarray, own: int, ids: np.ndarray, m: np.ndarray, segs:
     after = np.zeros(len(visit), np.int64)
     after[by_dim[:-1]] = np.where(d[by_dim[1:]] == d[by_dim[:-1]], gain[by_dim[1:]], 0)
     first = np.flatnonzero(np.diff(d[by_dim], prepend=-1))
-    rest = int(gain[by_dim[first]].sum())
-    acc = np.zeros(n, np.int64)
+    rest = base_sum = int(gain[by_dim[first]].sum())
+    acc = np.zeros(n, np.int64 if abs(base_sum) > 1 << 30 else np.int32)
     out = np.flatnonzero(ids == own)
     spread = int(blur.sum())
-    few, every = max(4 * k, n // 50), max(1, len(visit) // 24)
+    few, every = max(4 * k, n // 3), max(1, len(visit) // 24)  # scoring a third exactly costs less than going on
     may = np.ones(n, bool)
     may[out] = False
     steps = zip(gain[visit].tolist(), after[visit].tolist(), a[visit].tolist(), b[visit].tolist())
@@ -88,7 +88,7 @@ def best_in_block(q: np.ndarray, own: int, ids: np.ndarray, m: np.ndarray, segs:
             break  # only the worst values of each dimension are left: nothing more to gain
         acc[posts[lo:hi]] += more
         rest += then - more
-        if i % every == every - 1 and i > len(visit) // 3:
+        if i % every == every - 1 and 2 * i > len(visit):
             acc_k = acc.copy()
             acc_k[out] = -1
             kth = np.partition(acc_k, n - k)[n - k] if n > k else -1
@@ -122,7 +122,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id
         if left.num_rows and right.num_rows:
             one = left.to_pylist()[0]
             ids, segs = np.frombuffer(one["ids"], np.int64), np.frombuffer(one["segments"], np.int64).reshape(-1, 5)
-            m, posts = np.frombuffer(one["values"], np.int64).reshape(len(ids), -1), np.frombuffer(one["postings"], np.int32)
+            m, posts = np.frombuffer(one["values"], np.int64).reshape(len(ids), -1), np.frombuffer(one["postings"], np.int32).astype(np.int64)
             for own, v in zip(right.column("vec_id").to_pylist(), right.column("v")):
                 at, score = best_in_block(v.values.to_numpy().astype(np.int64), own, ids, m, segs, posts, k)
                 got[0].extend([own] * len(at))
