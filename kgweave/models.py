@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .functions.arrays import l2_normalize, let
 from .functions.text import _col, squeeze, tokens
+from .session import cut_lineage
 
 # Attempts and waits of the two retry policies, and the failure answer.
 RETRY_ATTEMPTS, RETRY_WAIT_SECONDS = 6, 2
@@ -71,7 +72,8 @@ def generate_cached(df: DataFrame, prompt: str, out: str, make_generator, cache:
     todo = keyed.select("_key", prompt).dropDuplicates(["_key"])
     if cache is not None:
         todo = todo.join(cache.select(F.col("key").alias("_key")), "_key", "left_anti")
-    fresh = generate(todo, prompt, "response", make_generator).select(F.col("_key").alias("key"), "response")
+    # stored before use: both results below read the same answers, and the model runs once per prompt
+    fresh = cut_lineage(generate(todo, prompt, "response", make_generator).select(F.col("_key").alias("key"), "response"))
     known = fresh if cache is None else fresh.unionByName(cache.select("key", "response"))
     answered = keyed.join(known.select(F.col("key").alias("_key"), F.col("response").alias(out)), "_key", "left")
     return answered.drop("_key"), fresh

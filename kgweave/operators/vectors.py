@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions.arrays import l2_normalize
+from ..session import cut_lineage
 
 # Queries are shipped to the tasks whole up to this many bytes; larger sets go through blocks.
 MAX_QUERY_BYTES = 64 << 20
@@ -95,9 +96,10 @@ def topk(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "ip", id_
         part = vectors.mapInPandas(scan, schema)
     else:
         part = _blocked(queries, vectors, k, cosine, weight, bias, id_ascending, schema, size["n"])
+    # at most k rows per (task, query): kept, so that the vectors are scanned once for ranks and range
+    part = cut_lineage(part)
     order = [F.desc("score"), F.asc("id") if id_ascending else F.desc("id")]
     w = W.partitionBy("query_id")
-    # few rows per (task, query) arrive here; the range needs only their lo/hi
     span = part.groupBy("query_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     ranked = part.drop("lo", "hi").withColumn("rank", F.row_number().over(w.orderBy(*order))).filter(F.col("rank") <= k)
     return ranked.join(span, "query_id")

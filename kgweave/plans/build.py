@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import models, schema as SC
 from ..operators import concept_graph as CG, concepts as C, extraction as X, graph as G, outputs as O, shaping as S
-from ..session import dense_index
+from ..session import cut_lineage, dense_index
 from ..sources import readers, writers
 from . import prompts
 
@@ -37,7 +37,8 @@ def extract(chunk_rows: DataFrame, make_generator) -> DataFrame:
              "event_relation": ("output_stage_three", "event_relation_dict")}
     for stage, (raw, fixed) in names.items():
         p = O.repaired(models.generate(p, f"prompt_{stage}", raw, make_generator), raw, fixed, stage).drop(f"prompt_{stage}")
-    return p.withColumnRenamed("text", "original_text").drop("system")
+    # stored: numbering and flattening read the records several times, the model answers once
+    return cut_lineage(p.withColumnRenamed("text", "original_text").drop("system"))
 
 
 def ordered_records(records: DataFrame) -> DataFrame:

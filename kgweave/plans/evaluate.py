@@ -1,7 +1,7 @@
 """Task evaluation: requests, responses, filters, metrics, aggregation, group roll-up."""
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -59,21 +59,27 @@ def requests(docs: DataFrame, task: Task, key: str) -> DataFrame:
 
 
 def respond(reqs: DataFrame, task: Task, make_model: Callable[[], TaskModel]) -> DataFrame:
-    """Model responses for request rows, a batch per Arrow block."""
+    """Model responses for request rows, a batch per Arrow block and one model per task."""
     if task.kind == "multiple_choice":
         @F.pandas_udf("double")
-        def ll(p: pd.Series, c: pd.Series) -> pd.Series:
-            return pd.Series(make_model().loglikelihood(p.tolist(), c.tolist()))
+        def ll(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            model = make_model()
+            for p, c in parts:
+                yield pd.Series(model.loglikelihood(p.tolist(), c.tolist()))
         return reqs.withColumn("resp", ll("prompt", "continuation"))
     if task.kind == "rolling":
         @F.pandas_udf("double")
-        def roll(p: pd.Series) -> pd.Series:
-            return pd.Series(make_model().loglikelihood_rolling(p.tolist()))
+        def roll(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            model = make_model()
+            for p in parts:
+                yield pd.Series(model.loglikelihood_rolling(p.tolist()))
         return reqs.withColumn("resp", roll("prompt"))
 
     @F.pandas_udf("string")
-    def gen(p: pd.Series) -> pd.Series:
-        return pd.Series(make_model().generate_until(p.tolist()))
+    def gen(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = make_model()
+        for p in parts:
+            yield pd.Series(model.generate_until(p.tolist()))
     return reqs.withColumn("resp", gen("prompt"))
 
 

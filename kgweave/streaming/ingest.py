@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -23,8 +24,10 @@ def _keep_new(spark: SparkSession, rows: DataFrame, path: str, key: str, batch:
     """Rows of keys not stored by an earlier batch (a replayed batch sees only older ones)."""
     try:
         known = spark.read.parquet(path).filter(F.col("batch") < batch).select(key)
-    except Exception:  # noqa: BLE001 - first batch: the table does not exist yet
-        return rows
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return rows  # first batch: the table does not exist yet
     return rows.join(known, key, "left_anti")
 
 
