@@ -23,7 +23,7 @@ PERIOD = 10_000
 #: default weights: each source's share of all characters to this power
 TEMPERATURE = 0.7
 #: rows that one salt of a source orders
-SALT_ROWS = 5_000
+SALT_ROWS = 2_000
 
 
 def shares(weights: dict, period: int = PERIOD) -> dict:
