@@ -5,7 +5,8 @@ it. Every block has a vector of hashed tag-path parts, hashed words and a few sh
 LSTM (numpy) reads the whole sequence, so each block is judged with its document around it. Blocks judged
 as main text are joined in page order.
 
-The network is trained here, on at most `SAMPLE` pages, the first by hash of the id. Their blocks are marked
+The network is trained here, on at most `SAMPLE` pages of at most `SAMPLE_CHARS` characters, the first by
+hash of the id. Their blocks are marked
 by structure (inside an article, outside navigation and the like) and training mixes in what web pages also
 have: sidebars, notices, forms, comments, and other names for the article. Every page is then labelled.
 """
@@ -23,8 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import tasks
 
 SAMPLE, HIDDEN, STEPS, BATCH = 300, 16, 300, 16
-#: training reads stretches of at most so many blocks
-STRETCH = 48
+#: training takes pages of at most so many characters, and reads stretches of at most so many blocks
+SAMPLE_CHARS, STRETCH = 200_000, 48
 PATH_DIM, WORD_DIM = 256, 32
 DIM = PATH_DIM + WORD_DIM + 5
 
@@ -306,7 +307,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     empty table gives an empty table.
     """
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"))
-    few = [r.html for r in rows.where("html IS NOT NULL").orderBy(F.xxhash64("page_id"), "page_id").limit(sample).select("html").collect()]
+    few = [r.html for r in rows.where(F.length("html") <= SAMPLE_CHARS).orderBy(F.xxhash64("page_id"), "page_id").limit(sample).select("html").collect()]
     model = train(few)
 
     def run(batches):
