@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.arrays import ngrams, word_ngrams
 from ..functions.text import PY_WS, ngram_normalize, squeeze
-from ..session import running_total
+from ..session import cut_lineage, running_total
 
 # N-gram length, removed window, dirty cut-off, minimum kept slice, common threshold.
 N, WINDOW, CUTOFF, MIN_SLICE, COMMON = 13, 200, 10, 200, 10
@@ -20,10 +20,13 @@ def common_ngrams(docs: DataFrame, key: str, text: str = "text", n: int = N, mor
     """N-grams found in more than ``more_than`` documents, with the number of documents.
 
     Each document already offers an n-gram once, so a plain count (combined on the map side) is
-    the number of distinct documents when ``key`` is unique.
+    the number of distinct documents when ``key`` is unique. Only a 128-bit hash of each n-gram is
+    shuffled; the texts of the common ones are looked up afterwards.
     """
-    return document_ngrams(docs, [key], text, n).groupBy("ngram").agg(F.count("*").alias("n_docs")).filter(
-        F.col("n_docs") > more_than)
+    grams = document_ngrams(docs, [key], text, n).select("ngram", F.xxhash64("ngram").alias("h1"), F.xxhash64(F.lit(n), "ngram").alias("h2"))
+    counts = cut_lineage(grams.groupBy("h1", "h2").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > more_than))
+    return grams.join(counts, ["h1", "h2"]).groupBy("h1", "h2").agg(
+        F.min("ngram").alias("ngram"), F.first("n_docs").alias("n_docs")).select("ngram", "n_docs")
 
 
 def overlaps(train: DataFrame, train_key: str, evals: DataFrame, eval_key: str, text: str = "text", n: int = N) -> DataFrame:
