@@ -198,6 +198,12 @@ def words_of(c) -> Column:
     return F.array_distinct(F.filter(F.split(squeeze(t), " "), lambda x: x != ""))
 
 
+def phrase(c, stop_words: tuple[str, ...] = ()) -> Column:
+    """Lower-case words of a name in order, without ASCII punctuation and stop words, joined by spaces."""
+    words = F.filter(F.split(squeeze(F.lower(F.regexp_replace(_col(c), r"\p{Punct}", ""))), " "), lambda w: (w != "") & ~w.isin(*stop_words))
+    return F.array_join(words, " ")
+
+
 def tokens(c) -> Column:
     """Python ``str.split()``: white-space separated tokens, none for a blank text."""
     return F.filter(F.split(squeeze(c), " "), lambda x: x != "")

@@ -6,6 +6,7 @@ stand-ins below are Column expressions, so plans that use them stay in the JVM.
 """
 from __future__ import annotations
 
+import random
 import time
 from collections.abc import Iterator, Sequence
 from typing import Protocol
@@ -20,6 +21,7 @@ from .session import cut_lineage
 
 # Attempts and waits of the two retry policies, and the failure answer.
 RETRY_ATTEMPTS, RETRY_WAIT_SECONDS = 6, 2
+RETRY_SECONDS = 120
 FAILED_ANSWER = "[]"
 # Capitalised question words that never name an entity.
 QUESTION_WORDS = ("What", "How", "When", "Where", "Why", "Who", "Which", "The", "A", "An", "Is", "Are",
@@ -39,12 +41,19 @@ class Encoder(Protocol):
 
 
 def _with_retry(call, attempts: int, wait: float):
+    """Result of the first call that succeeds, None after ``attempts`` or `RETRY_SECONDS` of trying.
+
+    The pause doubles from ``wait`` on and is cut by a random share, so that workers do not retry in step.
+    """
+    began = time.monotonic()
     for i in range(attempts):
         try:
             return call()
         except Exception:  # noqa: BLE001 - a provider may raise anything
-            if i + 1 < attempts:
-                time.sleep(wait)
+            pause = wait * 2 ** i * random.uniform(0.5, 1.0)
+            if i + 1 == attempts or time.monotonic() - began + pause > RETRY_SECONDS:
+                return None
+            time.sleep(pause)
     return None
 
 

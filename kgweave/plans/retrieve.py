@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.arrays import dot
-from ..functions.text import squeeze, triple_text, words_of
+from ..functions.text import phrase, squeeze, triple_text
 from ..operators import graph as G, paths as P, ranking as R, vectors as V
 from ..operators.concept_graph import contained_names
 from ..operators.quality import fuzzy_keywords
@@ -186,7 +186,7 @@ def passage_scores(node_scores: DataFrame, text_edges: DataFrame, k: int) -> Dat
 
 def large_graph_passages(queries: DataFrame, g: G.Graph, nodes: DataFrame, text_edges: DataFrame, entities: Column,
                          encode: Callable[[Column], Column], config: LargeGraphConfig = LargeGraphConfig(),
-                         keep_names: Callable[[DataFrame], DataFrame] | None = None, words_filter: bool = False) -> DataFrame:
+                         keep_names: Callable[[DataFrame], DataFrame] | None = None, words_filter: bool = False, stop_words: tuple[str, ...] | None = None) -> DataFrame:
     """Entities -> near nodes -> kept names -> one walk sample and rank per seed -> passages.
 
     ``keep_names`` filters (query_id, name) candidates; a returned name is matched exactly, else
@@ -215,7 +215,8 @@ def large_graph_passages(queries: DataFrame, g: G.Graph, nodes: DataFrame, text_
     scores = R.source_rank(g.edges, sample, config.iterations)
     rows = weighted.select("query_id", F.col("id").alias("source"), "weight").join(scores, "source")
     if words_filter:
-        phrases = seeds.groupBy("query_id").agg(F.collect_set(F.array_join(words_of("name"), " ")).alias("_p"))
+        # phrases of the seeds that pass the threshold, stop words out
+        phrases = weighted.groupBy("query_id").agg(F.collect_set(phrase("name", KEYWORD_STOP if stop_words is None else stop_words)).alias("_p"))
         named = rows.join(nodes.select("id", "name"), "id").join(phrases, "query_id")
         rows = named.filter(F.exists("_p", lambda p: (p != "") & F.contains(F.lower("name"), p)))
     else:

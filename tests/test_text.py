@@ -105,3 +105,7 @@ def test_vectors_and_metrics(spark):
     assert one(spark, [3.0, 4.0], lambda c: A.cosine(c, F.array(F.lit(0.0), F.lit(0.0))), "array<double>") is None
     assert one(spark, "a b b", lambda c: A.token_f1(T.tokens(c), T.tokens(F.lit("b b c")))) == 2 * (2 / 3) * (2 / 3) / (4 / 3)
     assert one(spark, "", lambda c: A.token_f1(T.tokens(c), T.tokens(c))) == 0.0
+
+
+def test_phrase_drops_stop_words_and_keeps_order(spark):
+    assert one(spark, "The  Bank, of the (New) Bank!", lambda c: T.phrase(c, ("the", "of"))) == "bank new bank"
