@@ -213,6 +213,31 @@ def test_mixing_blocks_and_weights(spark):
     assert all(not r.kept for r in mixing.mix(frame(spark, rows), {"s0": 1}).collect() if r.source != "s0")
 
 
+def test_mixture_goes_on_without_used_up_sources(spark):
+    counts = {"hot": 4000, "tiny": 1, None: 3, **{f"s{i}": 400 + i for i in range(10)}}
+    weights = {s: n ** 0.7 for s, n in counts.items()} | {"tiny": 1e-9}
+    slots = mixing.schedule(weights, counts)
+    assert {s: len(ts) for s, ts in slots.items()} == counts and slots["tiny"] == [sum(counts.values()) - 1]
+    assert sorted(t for ts in slots.values() for t in ts) == list(range(sum(counts.values())))
+    left, got, fluid = dict(counts), collections.Counter(), collections.Counter()
+    for t, s in sorted(((t, s) for s, ts in slots.items() for t in ts), key=lambda x: x[0]):
+        got[s] += 1
+        room = 1.0  # one slot of the fluid mixture, renormalised where a source ends
+        while room > 1e-9:
+            live = {x: w for x, w in weights.items() if left[x] - fluid[x] > 1e-9}
+            step = min([room] + [(left[x] - fluid[x]) * sum(live.values()) / w for x, w in live.items()])
+            for x, w in live.items():
+                fluid[x] += step * w / sum(live.values())
+            room -= step
+            if not live:
+                break
+        assert all(abs(got[x] - fluid[x]) < 1 + 1e-5 for x in counts)
+    rows = [(i, "x" * 300, "big") for i in range(200)] + [(900, "y", None), (901, "z", "one"), (902, "", "two"), (903, "q" * 500, "whole"), (904, None, "whole")]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_chars=500).collect()
+    assert len(out) == len(rows) and all(r.kept for r in out)
+    assert {r.slot for r in out} == set(range(120 + 4))
+
+
 def test_rules_score_junk_low(spark):
     r = np.random.default_rng(2)
     good = [" ".join(r.choice(["tree", "river", "stone", "walks", "slowly", "under", "light", "green"], 60)) + "." for _ in range(200)]
