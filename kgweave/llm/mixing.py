@@ -75,12 +75,13 @@ def period_slots(quota: dict) -> dict:
 
 
 def mix(docs: DataFrame, weights: dict | None = None, block_chars: int = BLOCK_CHARS, key: str = "doc_id", text: str = "text",
-        source: str = "source") -> DataFrame:
+        source: str = "source", size: int | None = None) -> DataFrame:
     """(doc_id, source, block, slot, kept): the block of its source in which each document starts, the
     block's slot in the mixture, and whether the document is part of it.
 
     ``weights`` maps a source to its target weight; without it, weights are character shares to the power
-    `TEMPERATURE` and every document is kept. Sources without weight have no slots and are not kept; weights
+    `TEMPERATURE` and every document is kept. Weights decide the order; only with a ``size`` in blocks does the
+    mixture end there, and documents of later slots are not kept. Sources without weight have no slots and are not kept; weights
     of absent sources are ignored. Null sources are one source of their own. Null and empty texts have length
     0 and share their neighbour's block. Repeated rows are rows of their own. Other columns are ignored; an
     empty table gives an empty table. The sources' totals and one slot per block (8 bytes for `BLOCK_CHARS`
@@ -111,4 +112,4 @@ def mix(docs: DataFrame, weights: dict | None = None, block_chars: int = BLOCK_C
     placed = placed.join(F.broadcast(ends), F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumn("block", F.least("block", F.col("n") - 1))
     return (placed.join(F.broadcast(table.drop("n")), F.col("source").eqNullSafe(F.col("s")) & (F.floor(F.col("block") / RUN) == F.col("run")), "left")
             .withColumn("slot", F.get("slots", (F.col("block") % RUN).cast("int")))
-            .select("doc_id", "source", "block", "slot", F.col("slot").isNotNull().alias("kept")))
+            .select("doc_id", "source", "block", "slot", (F.col("slot").isNotNull() if size is None else F.coalesce(F.col("slot") < size, F.lit(False))).alias("kept")))

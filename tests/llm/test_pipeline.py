@@ -56,3 +56,14 @@ def test_stages_and_run(spark):
         lengths[i] += n
     assert lengths == {i: len(encode(t or "")) + 1 for i, t in mixed.items()}
     assert corpus_pipeline.run(spark, FOLDER).count() == len(last)
+
+
+def test_mixture_keeps_and_orders_documents(spark):
+    rows = [(i, f"{i} " + "x" * 40_000, "en", "hot" if i % 3 else f"s{i % 4}", 0) for i in range(60)] + [(100, "tiny", "en", "one", 4), (101, None, "en", None, 0), (None, "no id", "en", "hot", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = [r.doc_id for r in corpus_pipeline.mixture(spark, docs, FOLDER).collect()]
+    assert sorted(map(str, out)) == sorted(str(r[0]) for r in rows)
+    slots = {r.doc_id: r.slot for r in mixing.mix(docs).collect()}
+    assert [slots[i] for i in out] == sorted(slots.values())
+    cut = mixing.mix(docs, {"hot": 1, "s0": 1}, size=10).collect()
+    assert {r.doc_id for r in cut if r.kept} == {r.doc_id for r in cut if r.slot is not None and r.slot < 10} and 0 < sum(r.kept for r in cut) < len(cut)
