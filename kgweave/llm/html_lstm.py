@@ -33,6 +33,8 @@ DIM = PATH_DIM + WORD_DIM + 5
 INLINE = frozenset("a abbr b bdi bdo big cite code data dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea svg iframe object select title".split())
+#: of these, elements whose text has no tags but their own end; unclosed they reach to the end of the page
+TEXT = frozenset("script style textarea title".split())
 ENDS_P = frozenset(("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main "
                     "menu nav ol p pre section table ul").split())
 # fixed values: words in tags, classes and ids that mark main text and what surrounds it
@@ -40,7 +42,8 @@ MAIN = "article main content post entry story body".split()
 AROUND = ("nav menu header footer aside sidebar notice cookie banner ad ads advert promo form comments comment related share breadcrumb "
           "subscribe newsletter widget login search popup").split()
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*)(?:>|$)|[^<]+|<", re.S)
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|$)[^>]*(?:>|$)", re.I) for tag in RAW}
 _NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
 
@@ -57,7 +60,7 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
-    linked, skip = 0, None
+    linked, here, unclosed = 0, 0, set()
 
     def close():
         nonlocal linked
@@ -67,12 +70,8 @@ def blocks(page: str) -> list[Block]:
         parts.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
-        piece, tag = m[0], m[2]
-        if skip:
-            if tag and m[1] and tag.lower() == skip:
-                skip = None
-            continue
+    while m := _TOKEN.match(page, here):
+        piece, tag, here = m[0], m[2], m.end()
         if tag is None:
             if not piece.startswith("<") or piece == "<":
                 parts.append(piece)
@@ -83,7 +82,13 @@ def blocks(page: str) -> list[Block]:
         if tag in RAW:
             if not m[1] and not m[3].rstrip().endswith("/"):
                 close()
-                skip = tag
+                end = None if tag in unclosed else _END[tag].search(page, here)
+                if end:
+                    here = end.end()
+                elif tag in TEXT:
+                    break
+                else:
+                    unclosed.add(tag)
             continue
         if tag == "br":
             parts.append(" ")

@@ -271,6 +271,16 @@ def test_page_blocks_and_labels():
     assert html_lstm.blocks("") == [] and html_lstm.blocks("a < b")[0].text == "a < b"
 
 
+def test_page_blocks_behind_scripts_unclosed_elements_and_quotes():
+    def texts(page):
+        return [b.text for b in html_lstm.blocks(page)]
+    assert texts("<head><script>for(i=0;i<n;i++){x}</script></head><p>One</p><STYLE>a<b</Style ><p>Two</p><script>'<p>no") == ["One", "Two"]
+    assert texts('<script>if(a<b)s="it\'s";</script><p>One<script>"</SCRIPTS>"</script></p>') == ["One"]
+    assert texts("<p>One</p><select><option>x<p>Two</p><noscript>y<p>Three</p>") == ["One", "x", "Two", "y", "Three"]
+    assert texts("<svg><text>no</text></svg><p class='a'' id=x>One</p><p title=\"q\"\">It's</p><p>Two \"q\"</p>") == ["One", "It's", 'Two "q"']
+    assert texts("<p title='a > b' alt = \"<c>\">One</p>") == ["One"]
+
+
 def test_extraction_on_given_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     more = spark.createDataFrame([(None, None, None), (-1, "u", ""), (-2, "u", "<p>"), (-3, "u", "<div>" * 3000 + "x")], "page_id long, url string, html string")
