@@ -1,7 +1,7 @@
 """Keyed surrogates for personal data and secrets, in native DataFrame operations.
 
 Detected entities are replaced by surrogates of the same type, drawn from a keyed hash: an e-mail address
-stays one with the same lengths and character classes, a card number keeps its first digit, grouping and a
+stays one with the same lengths and character classes (longer where a domain has no such address left), a card number keeps its first digit, grouping and a
 right check digit, a phone number its country code and punctuation, an address four octets, a key its
 prefix and alphabet, and a name after a title becomes a name of the same gender, script and number of words.
 One entity has one surrogate in the whole corpus (coreference). Surrogates are checked over all entities:
@@ -37,6 +37,9 @@ SYLLABLES = {"latin": ["ba", "del", "fo", "gar", "hen", "kol", "lin", "mar", "no
              "cyrillic": ["ба", "дел", "фо", "гар", "жен", "кол", "лин", "мар", "нор", "пел", "рос", "сал", "тан", "вер", "вил", "зан"],
              "greek": ["βα", "δελ", "φο", "γαρ", "θεν", "κολ", "λιν", "μαρ", "νορ", "πελ", "ροσ", "σαλ", "ταν", "βερ", "ξιλ", "ζαν"]}
 
+#: rounds of draws before an e-mail's surrogate grows by a letter
+WIDEN = 4
+
 
 def kind(entity: Column) -> Column:
     """Type of a detected entity."""
@@ -84,7 +87,10 @@ def surrogate(norm: Column, type_: Column, round_: Column, secret: str) -> Colum
     """The keyed surrogate of a normalised entity, in its normal form."""
     digest = F.sha2(F.concat_ws("\u0001", F.lit(secret), type_, norm, round_.cast("string")), 512)
     at = F.instr(norm, "@")
-    email = F.concat(_masked(F.substring(norm, F.lit(1), at - 1), digest, F.lit(0)), F.substring(norm, at, F.length(norm)))
+    # where draws keep colliding, letters before the local part widen the space, one more every WIDEN rounds
+    wider = F.when(round_ >= WIDEN, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(round_ / WIDEN).cast("int"))),
+                                                             lambda i: _letter("abcdefghijklmnopqrstuvwxyz", _draw(digest, i + 30, 26))), "")).otherwise("")
+    email = F.concat(wider, _masked(F.substring(norm, F.lit(1), at - 1), digest, F.lit(0)), F.substring(norm, at, F.length(norm)))
     hexes = _each(norm, digest, lambda c, i: F.lower(_letter("0123456789abcdef", _draw(digest, i, 16))))
     key = F.concat(F.lit("AKIA"), _each(F.substring(norm, 5, 16), digest, lambda c, i: _letter("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", _draw(digest, i, 32))))
     keep = F.greatest(F.lit(1), F.length(norm) - 10)
@@ -112,9 +118,11 @@ def formatted(mention: Column, type_: Column, replacement: Column) -> Column:
         before = F.length(F.regexp_replace(F.substring(mention, F.lit(1), i), r"\D", ""))
         return F.when(c.rlike(r"\d"), F.substring(replacement, before + 1, F.lit(1))).otherwise(c)
     def cased(c, i):
-        other = F.substring(replacement, i + 1, F.lit(1))
+        other = F.substring(replacement, more + i + 1, F.lit(1))
         return F.when(c.rlike("[A-Z]"), F.upper(other)).otherwise(other)
-    return F.when(type_.isin("card", "phone"), _each(mention, mention, grouped)).when(type_ == "email", _each(mention, mention, cased)).otherwise(replacement)
+    more = F.length(replacement) - F.length(mention)
+    email = F.concat(F.substring(replacement, F.lit(1), more), _each(mention, mention, cased))
+    return F.when(type_.isin("card", "phone"), _each(mention, mention, grouped)).when(type_ == "email", email).otherwise(replacement)
 
 
 def mapping(entities: DataFrame, secret: str) -> DataFrame:

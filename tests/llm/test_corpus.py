@@ -367,6 +367,14 @@ def test_surrogates_of_many_entities_are_distinct(spark):
     assert len({t.split(" ", 3)[3] for t in got}) == len({t.split(" ", 3)[3] for _, t in rows})
 
 
+def test_surrogates_of_every_short_address_of_a_domain(spark):
+    rows = [(i, f"to {c}@x.org or {c.upper()}@X.org.") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")]
+    out = pii_surrogates.replace_entities(frame(spark, rows)).collect()
+    got = [re.fullmatch(r"to ([a-z]+)@x\.org or ([a-z]*[A-Z])@X\.org\.", r.text) for r in out]
+    assert all(m and m[1] == m[2].lower() for m in got)
+    assert len({m[1] for m in got}) == 26 and not {m[1] for m in got} & set("abcdefghijklmnopqrstuvwxyz")
+
+
 def test_empty_tables(spark):
     docs = frame(spark, []).limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
