@@ -65,3 +65,51 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
 FROM s QUALIFY rank <= 5
 """
+
+# cuts: the first two draws modulo n + 1
+_UNITS = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
+ORACLES["op12_fill_in_middle"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_UNITS}') AS u, sha256('42:' || doc_id::VARCHAR) AS h FROM documents),
+k AS (SELECT *, len(u)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+def _merkle(levels: int = 12) -> str:
+    """Unrolled levels of all language trees and of the tree over them; up to 8^levels leaves a tree."""
+    part = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: f"sha256({' || '.join(part(c) for c in ('doc_id', 'source', 'lang', 'n_chars'))} || {part(text)})"
+    byte = "list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)"
+    step = "list_reduce(list_prepend(xor(a, c), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, o: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {byte}), lambda a, c: {step}), 4294967295)"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    sql = [f"docs AS MATERIALIZED (SELECT doc_id, lang, {leaf('text')} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {leaf(lower)} ELSE {leaf('text')} END AS found FROM documents)",
+           "a0 AS MATERIALIZED (SELECT *, coalesce('=' || lang, '') AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n, leaf AS h FROM docs)"]
+
+    def climb(name: str):
+        for k in range(levels):
+            run = "PARTITION BY tree, i // 8 ORDER BY i"
+            sql.append(f"{name}x{k} AS MATERIALIZED (SELECT tree, i, n, h, coalesce(string_agg(h, '') OVER ({run} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, "
+                       f"coalesce(string_agg(h, '') OVER ({run} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{k})")
+            sql.append(f"{name}{k + 1} AS MATERIALIZED (SELECT tree, i // 8 AS i, (n + 7) // 8 AS n, CASE WHEN n = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM {name}{k} GROUP BY tree, i // 8, n)")
+
+    climb("a")
+    sql.append(f"b0 AS MATERIALIZED (SELECT '' AS tree, tree AS name, row_number() OVER (ORDER BY encode(tree)) - 1 AS i, count(*) OVER () AS n, h FROM a{levels})")
+    climb("b")
+    sql.append("f0 AS (SELECT doc_id, leaf, tree, i, found AS f, '' AS proof FROM a0)")
+    step_up = "CASE WHEN x.n = 1 THEN f ELSE sha256(x.l || f || x.r) END AS f, CASE WHEN x.n = 1 THEN proof ELSE proof || x.l || x.r END AS proof"
+    for k in range(levels):
+        sql.append(f"f{k + 1} AS (SELECT doc_id, leaf, f.tree, f.i // 8 AS i, {step_up} FROM f{k} f JOIN ax{k} x ON f.tree = x.tree AND f.i = x.i)")
+    sql.append(f"g0 AS (SELECT doc_id, leaf, b0.h AS subroot, b0.i, f, proof FROM f{levels} JOIN b0 ON b0.name = f{levels}.tree)")
+    for k in range(levels):
+        sql.append(f"g{k + 1} AS (SELECT doc_id, leaf, subroot, g.i // 8 AS i, {step_up} FROM g{k} g JOIN bx{k} x ON g.i = x.i)")
+    return ("WITH " + ",\n".join(sql) + f"\nSELECT doc_id, leaf, subroot, b.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = b.h AS verified FROM g{levels}, b{levels} b")
+
+
+ORACLES["op13_merkle_manifest"] = _merkle()

@@ -3,9 +3,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, html_lstm, minhash_dedup, mixing, packing, pii_surrogates, quality_rules, substring_dedup, topk, url_filter
+from . import bpe, exact_dedup, fill_in_middle, html_lstm, merkle, minhash_dedup, mixing, packing, pii_surrogates, quality_rules, substring_dedup, topk, url_filter
 from .oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +72,26 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+@query
+def op11_bpe_rank_array(spark: SparkSession, folder: str) -> DataFrame:
+    ids = bpe.encode(table(spark, folder, "documents"), packed=True)
+    return bpe.decode(ids).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    rows = fill_in_middle.restore(fill_in_middle.fill_in_middle(table(spark, folder, "documents")))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                       F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    rows = merkle.manifest(table(spark, folder, "documents"), merkle.tampered)
+    siblings = F.array_join(F.flatten(F.transform("proof", lambda level: level.siblings)), "")
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
