@@ -31,9 +31,9 @@ def draws(key: Column, seed: int) -> list[Column]:
 
 def _check(marks: tuple[str, str, str]):
     """Marks must be told apart wherever texts meet them: none may begin inside another or itself."""
-    for a in marks:
-        for b in marks:
-            if not a or any(a.endswith(b[:k]) for k in range(1, min(len(a), len(b)) + (a != b))) or (a != b and a in b):
+    for i, a in enumerate(marks):
+        for j, b in enumerate(marks):
+            if not a or any(a.endswith(b[:k]) for k in range(1, min(len(a), len(b)) + (i != j))) or (i != j and a in b):
                 raise ValueError(f"marks {a!r} and {b!r} are empty or overlap")
 
 
