@@ -308,7 +308,7 @@ r{k} AS (SELECT q.query_id, v.id, 0.85 * coalesce(m.s, 0) + (0.85 * coalesce(d.d
          FROM q CROSS JOIN v LEFT JOIN m{k} m ON m.query_id = q.query_id AND m.id = v.id
          LEFT JOIN d{k} d ON d.query_id = q.query_id LEFT JOIN p ON p.query_id = q.query_id AND p.id = v.id),
 """
-ROUNDS = 3
+ROUNDS = 5
 PAGERANK_SQL = TRADE + _SEEDS + "".join(_ROUND.format(k=k, j=k - 1) for k in range(1, ROUNDS + 1)) + f"""
 kinds AS (SELECT query_id, substring(id, 1, 1) AS kind, sum(x) AS mass, max(x) AS top FROM r{ROUNDS} GROUP BY ALL)
 SELECT query_id, kind, round(mass, 9) AS mass, round(top, 9) AS top FROM kinds"""

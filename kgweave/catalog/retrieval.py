@@ -1,12 +1,12 @@
 """Vector search and retrieval recipes; benchmark items are the questions."""
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from .. import models
 from ..functions import arrays as A
 from ..functions.text import sha_id, triple_text
-from ..operators import extraction as X, graph as G, vectors as V
+from ..operators import extraction as X, graph as G, ranking as R, vectors as V
 from ..plans import retrieve as Q
 from ..session import cut_lineage, dense_index
 from .base import TRIPLES, WITH_KG, documents, query, sq, table, words
@@ -94,6 +94,26 @@ def cell_search(spark, d):
     return V.cell_search(centroids(spark, d), v, V.train_cells(v, 8, rounds=5), 10, probes=4)
 
 
+@query("q_code_search", f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_dot_product(q.e, v.e), 9) AS score FROM v q, v WHERE q.vec_id % 20 = 0)
+SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) AS INTEGER) AS rank FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) <= 10""")
+def code_search(spark, d):
+    """Cells and codes with every cell visited: the candidates are wide enough that exact rescoring finds all."""
+    v = vectors(spark, d)
+    q = v.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    return V.code_search(V.build_code_index(v, cells=16), q, 10, probes=16, refine=40)
+
+
+@query("q_code_recall")
+def code_recall(spark, d):
+    """Recall at 10 of a search in half of the cells, per query, against the exact search."""
+    v = vectors(spark, d)
+    q = v.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    return V.recall(V.code_search(V.build_code_index(v, cells=16), q, 10, probes=8), V.topk(q, v, 10))
+
+
 # ---- scores and seeds ------------------------------------------------------------------------------------
 
 @query("q_doc_freq_weight", WITH_KG + """
@@ -291,25 +311,146 @@ def entity_graph(spark, d):
     return G.Graph(n.select("id", "name", "type", "file_id"), e), n, files
 
 
-@query("q_entity_rank_passages")
-def entity_rank_passages(spark, d):
-    g, n, files = entity_graph(spark, d)
-    return Q.entity_rank_passages(questions(spark, d), g, n, files, models.capital_entities("text"), encode, 5)
+# ---- personalised-rank retrieval over all three kinds of triples ----------------------------------------------
+
+def rank_sql(alpha: float, tol: float, g: str = "g", v: str = "v", rounds: int = 20) -> str:
+    """The recipe's rank as unrolled rounds over edges (src, dst, outdeg), vertices (id) and restart (query_id, id, w): a query
+    keeps its ranks once their change falls below n * tol. The last table is r{rounds} (query_id, id, x)."""
+    out = f"""
+p AS MATERIALIZED (SELECT query_id, id, w / sum(w) OVER (PARTITION BY query_id) AS p FROM restart WHERE id IN (SELECT id FROM {v})),
+q AS (SELECT DISTINCT query_id FROM p),
+ends AS MATERIALIZED (SELECT id FROM {v} WHERE id NOT IN (SELECT src FROM {g})),
+r0 AS MATERIALIZED (SELECT query_id, id, 1.0::DOUBLE / (SELECT count(*) FROM {v}) AS x FROM q, {v}),
+f0 AS (SELECT query_id FROM q WHERE false),
+"""
+    for k in range(1, rounds + 1):
+        j = k - 1
+        out += f"""
+d{k} AS (SELECT query_id, sum(x) AS d FROM r{j} WHERE id IN (SELECT id FROM ends) GROUP BY query_id),
+m{k} AS (SELECT r.query_id, g.dst AS id, sum(r.x / g.outdeg) AS s FROM r{j} r JOIN {g} g ON g.src = r.id WHERE r.query_id NOT IN (SELECT query_id FROM f{j}) GROUP BY r.query_id, g.dst),
+r{k} AS MATERIALIZED (SELECT r.query_id, r.id, CASE WHEN f.query_id IS NOT NULL THEN r.x ELSE {alpha} * coalesce(m.s, 0) + ({alpha} * coalesce(d.d, 0) + {round(1 - alpha, 10)}) * coalesce(p.p, 0) END AS x, r.x AS old
+  FROM r{j} r LEFT JOIN f{j} f ON f.query_id = r.query_id LEFT JOIN m{k} m ON m.query_id = r.query_id AND m.id = r.id
+  LEFT JOIN d{k} d ON d.query_id = r.query_id LEFT JOIN p ON p.query_id = r.query_id AND p.id = r.id),
+f{k} AS MATERIALIZED (SELECT query_id FROM r{k} GROUP BY query_id HAVING sum(abs(x - old)) < (SELECT count(*) FROM {v}) * {tol}),
+"""
+    return out + f"ranks AS (SELECT query_id, id, x FROM r{rounds} WHERE query_id IN (SELECT query_id FROM f{rounds})),"
+
 
+_RANKED = rank_sql(0.99, 1e-7) + """
+s AS (SELECT query_id, id, round(x, 9) AS score FROM ranks JOIN ps USING (id) WHERE x > 0
+  UNION ALL SELECT query_id, id, round(w, 9) FROM tx WHERE query_id NOT IN (SELECT query_id FROM nd))
+SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5"""
+# the searchable graph: nodes, first-wins edges, passages, and each node's edge to the passage of its first mention
+_WHOLE = "WITH " + TRIPLES + "," + QUESTIONS + f"""
+ns AS MATERIALIZED (SELECT sha256(name) AS id, name, text_id, {embed_sql('name')} AS vec FROM nodes),
+es AS MATERIALIZED (SELECT *, {embed_sql('id')} AS vec FROM (
+  SELECT head, relation, tail, sha256(head) AS src, sha256(tail) AS dst, head || ' ' || relation || ' ' || tail AS id FROM (
+    SELECT * FROM triples QUALIFY row_number() OVER (PARTITION BY head, tail ORDER BY doc_id, kind, item, member) = 1)
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY head, tail) = 1)),
+ps AS MATERIALIZED (SELECT text_id AS id, {embed_sql('p')} AS vec FROM (SELECT text_id, any_value(p) AS p FROM texts GROUP BY text_id)),
+ge AS (SELECT src, dst FROM es UNION SELECT id, text_id FROM ns),
+v AS MATERIALIZED (SELECT id FROM ns UNION SELECT id FROM ps),
+g AS MATERIALIZED (SELECT src, dst, count(*) OVER (PARTITION BY src) AS outdeg FROM ge),
+td AS (SELECT q.query_id, p.id, {dot_sql('q.vec', 'p.vec')} AS score FROM qs q, ps p),
+tx AS MATERIALIZED (SELECT query_id, id, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS w
+  FROM td WINDOW w AS (PARTITION BY query_id)),
+"""
+_RESTART = """
+restart AS MATERIALIZED (SELECT query_id, id, w FROM nd WHERE id NOT IN (SELECT id FROM ps) UNION ALL SELECT query_id, id, w FROM tx WHERE query_id IN (SELECT query_id FROM nd)),
+"""
 
-@query("q_fact_rank_passages")
+
+# a question's entities and the node nearest to each
+_ENTITIES = f"""
+rn AS (SELECT query_id, text, list_filter(regexp_extract_all(text, '\\b[A-Z][a-z]+\\b(?:[ \\t\\n\\x0B\\f\\r]+[A-Z][a-z]+\\b)*'), lambda x: NOT list_contains([{", ".join(f"'{w}'" for w in models.QUESTION_WORDS)}], x))[1:3] AS es FROM qs),
+en AS (SELECT DISTINCT query_id, unnest(CASE WHEN len(es) > 0 THEN es ELSE [text] END) AS entity FROM rn),
+ev AS MATERIALIZED (SELECT entity, {embed_sql('entity')} AS vec FROM (SELECT DISTINCT entity FROM en)),
+nq AS MATERIALIZED (SELECT ev.entity, n.id, {dot_sql('ev.vec', 'n.vec')} AS score FROM ev, ns n),
+nb AS (SELECT entity, arg_max(id, (score, id)) AS id, max(score) AS score, min(score) AS lo, max(score) AS hi FROM nq GROUP BY entity),
+"""
+
+
+def whole_graph(spark, d):
+    """(nodes, edges, passages, graph) of all three kinds of triples, with vectors."""
+    records = X.with_text_ids(models.rule_extraction(documents(spark, d)))
+    t = cut_lineage(X.all_triples(records))
+    n = cut_lineage(X.first_mentions(t).select(sha_id("name").alias("id"), "name", "type", F.col("text_id").alias("file_id"), models.hash_embedding("name").alias("vec")))
+    e = t.groupBy("head", "tail").agg(F.min_by("relation", F.struct("line_no", "kind", "item", "member")).alias("relation")).withColumn(
+        "id", triple_text("head", "relation", "tail", "plain"))
+    # a few names with spaces make equal facts: the first pair stands for the text
+    e = e.groupBy("id").agg(F.min(F.struct("head", "tail", "relation")).alias("f")).select("id", "f.*")
+    e = cut_lineage(e.select("id", "head", "relation", "tail", sha_id("head").alias("src"), sha_id("tail").alias("dst"), models.hash_embedding("id").alias("vec")))
+    p = cut_lineage(records.groupBy(F.col("text_id").alias("id")).agg(F.min("passage").alias("text")).select("id", models.hash_embedding("text").alias("vec")))
+    links = e.select("src", "dst").unionByName(n.select(F.col("id").alias("src"), F.col("file_id").alias("dst")))
+    return n, e, p, R.store_edges(links, n.select("id").unionByName(p.select("id")))
+
+
+def _passages(ranked):
+    """Scores at nine places, ranked again so that ties follow the id."""
+    w = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
+    return ranked.select("query_id", "id", F.round("score", 9).alias("score")).withColumn("rank", F.row_number().over(w))
+
+
+@query("q_fact_rank_passages", _WHOLE + f"""
+ed AS MATERIALIZED (SELECT q.query_id, e.id, {dot_sql('q.vec', 'e.vec')} AS score FROM qs q, es e),
+sp AS (SELECT query_id, min(score) AS lo, max(score) AS hi FROM ed GROUP BY query_id),
+fx AS MATERIALIZED (SELECT query_id, id FROM ed QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) <= 50),
+fv AS MATERIALIZED (SELECT id, vec FROM es WHERE id IN (SELECT id FROM fx)),
+bk AS MATERIALIZED (SELECT f.id AS fact, arg_max(e.id, ({dot_sql('f.vec', 'e.vec')}, e.id)) AS id FROM fv f, es e GROUP BY f.id),
+gr AS (SELECT fx.query_id, e.src, e.dst, CASE WHEN hi = lo THEN 1.0 ELSE ({dot_sql('q.vec', 'e.vec')} - lo) / (hi - lo) END AS score
+  FROM fx JOIN bk ON bk.fact = fx.id JOIN es e ON e.id = bk.id JOIN qs q USING (query_id) JOIN sp USING (query_id)),
+nd AS MATERIALIZED (SELECT query_id, id, avg(score) AS w FROM (SELECT query_id, src AS id, score FROM gr UNION ALL SELECT query_id, dst, score FROM gr) GROUP BY ALL),
+""" + _RESTART + _RANKED)
 def fact_rank_passages(spark, d):
+    _, e, p, g = whole_graph(spark, d)
+    return _passages(Q.fact_rank_passages(questions(spark, d), g, e, p, encode, 5))
+
+
+@query("q_node_seed_passages", _WHOLE + f"""
+nq AS (SELECT q.query_id, n.id, {dot_sql('q.vec', 'n.vec')} AS score FROM qs q, ns n),
+nd AS MATERIALIZED (SELECT query_id, id, CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END AS w FROM (
+  SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) AS r FROM nq) WHERE r <= 10),
+""" + _RESTART + _RANKED)
+def node_seed_passages(spark, d):
+    """Seeds are the nodes nearest to the question."""
+    n, e, p, g = whole_graph(spark, d)
+    qs = questions(spark, d)
+    return _passages(Q.fact_rank_passages(qs, g, e, p, encode, 5, seeds=Q.node_seeds(qs, n, Q.InferenceConfig.topk_nodes)))
+
+
+@query("q_entity_seed_passages", _WHOLE + _ENTITIES + """
+nm AS (SELECT query_id, id, max(CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END) AS w FROM en JOIN nb USING (entity) GROUP BY query_id, id),
+nd AS MATERIALIZED (SELECT * FROM nm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY w DESC, id) <= 20),
+""" + _RESTART + _RANKED)
+def entity_seed_passages(spark, d):
+    """Seeds are the nodes nearest to the question's entities."""
+    n, e, p, g = whole_graph(spark, d)
+    qs = questions(spark, d)
+    seeds = Q.entity_node_seeds(qs, n, models.capital_entities("text"), encode, Q.InferenceConfig.topk_nodes)
+    return _passages(Q.fact_rank_passages(qs, g, e, p, encode, 5, seeds=seeds))
+
+
+@query("q_entity_rank_passages", _WHOLE + _ENTITIES + """
+gd AS (SELECT DISTINCT query_id, coalesce(x.id, nb.id) AS id FROM en JOIN nb USING (entity) LEFT JOIN ns x ON x.name = en.entity),
+sd AS (SELECT * FROM gd QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY id) <= 20),
+nf AS MATERIALIZED (SELECT DISTINCT sha256(name) AS id, text_id FROM mentions),
+restart AS MATERIALIZED (SELECT query_id, id, 1.0 / f AS w FROM sd JOIN (SELECT id, count(*) AS f FROM nf GROUP BY id) USING (id)),
+ev2 AS MATERIALIZED (SELECT id FROM ns),
+eg AS MATERIALIZED (SELECT src, dst, count(*) OVER (PARTITION BY src) AS outdeg FROM (SELECT DISTINCT sha256(head) AS src, sha256(tail) AS dst FROM triples)),
+""" + rank_sql(0.85, 1e-6, "eg", "ev2") + """
+s AS (SELECT query_id, text_id AS file_id, round(sum(round(x, 4)), 4) AS score FROM ranks JOIN nf USING (id) WHERE round(x, 4) >= 0.001 GROUP BY ALL)
+SELECT query_id, file_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_id) AS INTEGER) AS rank FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_id) <= 5""")
+def entity_rank_passages(spark, d):
+    """The graph has no passages; every passage that mentions a node takes its rank."""
     t = cut_lineage(kg(spark, d).triples)
-    n = X.first_mentions(t).filter("type = 'entity'").select(sha_id("name").alias("id"), "text_id")
-    edges = cut_lineage(t.filter("kind = 0").groupBy("head", "tail").agg(F.min_by("relation", F.struct("line_no", "item")).alias("relation")).select(
-        sha_id("head").alias("src"), sha_id("tail").alias("dst"), "head", "relation", "tail").withColumn(
-        "id", triple_text("head", "relation", "tail", "plain")).withColumn("vec", models.hash_embedding("id")))
-    p = cut_lineage(X.with_text_ids(models.rule_extraction(documents(spark, d))).groupBy(F.col("text_id").alias("id")).agg(
-        F.min("passage").alias("text")).select("id", models.hash_embedding("text").alias("vec")))
-    g = G.Graph(n.select("id").unionByName(p.select("id")).distinct(),
-                edges.select("src", "dst").unionByName(n.select(F.col("id").alias("src"), F.col("text_id").alias("dst"))))
-    # the tolerance is a parameter of the recipe; the default is exercised on the small fixture
-    return Q.fact_rank_passages(questions(spark, d), g, edges, p, encode, 5, Q.InferenceConfig(ppr_tol=1e-5))
+    n = cut_lineage(X.first_mentions(t).select(sha_id("name").alias("id"), "name", models.hash_embedding("name").alias("vec")))
+    e = t.select(sha_id("head").alias("src"), sha_id("tail").alias("dst"))
+    files = cut_lineage(X.mentions(t).select(sha_id("name").alias("id"), F.col("text_id").alias("file_id")).distinct())
+    r = Q.entity_rank_passages(questions(spark, d), G.Graph(n.select("id"), e), n, files, models.capital_entities("text"), encode, 5)
+    w = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("file_id"))
+    return r.select("query_id", "file_id", F.round("score", 4).alias("score")).withColumn("rank", F.row_number().over(w))
 
 
 @query("q_path_retriever")

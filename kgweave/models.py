@@ -116,7 +116,7 @@ def hash_embedding(text, dim: int = ENCODER_DIM) -> Column:
 
 def capital_entities(text) -> Column:
     """Stand-in entity recogniser: runs of capitalised words minus question words, first three."""
-    runs = F.regexp_extract_all(_col(text), F.lit(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"), 0)
+    runs = F.regexp_extract_all(_col(text), F.lit(r"\b[A-Z][a-z]++\b(?:\s++[A-Z][a-z]++\b)*+"), 0)
     return F.slice(F.filter(runs, lambda r: ~r.isin(*QUESTION_WORDS)), 1, MAX_ENTITIES)
 
 

@@ -111,7 +111,8 @@ def repaired(df: DataFrame, response: str, out: str, stage: str) -> DataFrame:
 
 # a JSON text, and a list of exactly three of them: such a list holds no other list, so the first one in the
 # item's own text is also the first in depth-first order
-_TEXT = r'"(?:[^"\\]|\\.)*"'
+# (possessive throughout, so that the engine counts in a loop: a plain group would recurse once per character)
+_TEXT = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 _TRIPLE = rf"\[\s*{_TEXT}\s*,\s*{_TEXT}\s*,\s*{_TEXT}\s*\]"
 
 

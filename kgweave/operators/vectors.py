@@ -5,17 +5,21 @@ query, so what leaves a task is queries x k rows, never queries x vectors.
 """
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from ..functions.arrays import l2_normalize
-from ..session import cut_lineage
+from ..functions.arrays import dot, l2_normalize
+from ..session import bucketed, cut_lineage
 
 # Queries are shipped to the tasks whole up to this many bytes; larger sets go through blocks.
 MAX_QUERY_BYTES = 64 << 20
 QUERY_BLOCK, VECTOR_BLOCK = 2048, 65536
 _CELLS = 4_000_000      # scores held at once by a task
+SAMPLE = 20_000         # vectors that centroids and codes are fitted on; every vector is indexed
+CODES, CELL_ROWS, REFINE = 256, 20_000, 20  # words of a code book, rows of a cell's piece, candidates rescored per result
 DECIMALS = 9            # scores are compared at this precision, so equal vectors tie exactly
 
 
@@ -165,14 +169,16 @@ def normalize_vectors(vectors: DataFrame, col: str = "vec") -> DataFrame:
     return vectors.withColumn(col, l2_normalize(col))
 
 
-def train_cells(vectors: DataFrame, cells: int, rounds: int = 10, seed: int = 42, sample: int = 100_000) -> np.ndarray:
-    """Coarse centroids (k-means) for cell search, from Spark ML's distributed implementation."""
+def train_cells(vectors: DataFrame, cells: int, rounds: int = 10, seed: int = 42, sample: int = SAMPLE) -> np.ndarray:
+    """Coarse centroids (k-means) for cell search, from Spark ML's distributed implementation.
+
+    Fitted on the ``sample`` vectors with the least hash of the id, the same rows on every run.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
-    n = vectors.count()
-    part = vectors if n <= sample else vectors.orderBy(F.xxhash64(F.lit(seed), "id")).limit(sample)
+    part = vectors.select("id", "vec").orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample)
     model = KMeans(k=cells, maxIter=rounds, seed=seed, featuresCol="_f").fit(
-        part.select(array_to_vector("vec").alias("_f")))
+        cut_lineage(part.select(array_to_vector("vec").alias("_f"))))
     return np.asarray(model.clusterCenters())
 
 
@@ -191,8 +197,145 @@ def assign_cells(vectors: DataFrame, centers: np.ndarray, col: str = "vec", out:
 
 def cell_search(queries: DataFrame, vectors: DataFrame, centers: np.ndarray, k: int, probes: int = 4) -> DataFrame:
     """Approximate top ``k``: only vectors stored in a query's nearest cells are scored (equi-join)."""
-    from ..functions.arrays import dot
     q = assign_cells(queries, centers, "vec", "cell", probes).withColumnRenamed("vec", "_q")
     pairs = q.join(assign_cells(vectors, centers), "cell").select("query_id", "id", dot("_q", "vec").alias("score"))
     w = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("id"))
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+# ---- inverted cells with residual product codes --------------------------------------------------------
+
+@dataclass(frozen=True)
+class CodeIndex:
+    """Vectors as (cell, piece, id, code): the nearest centroid and a byte per subspace of what remains.
+
+    ``rows`` is bucketed by (cell, piece): a search exchanges queries only. Cells of more than `CELL_ROWS` rows
+    are spread over pieces by a hash of the id. ``vectors`` (id, vec) are kept for exact rescoring.
+    """
+
+    rows: DataFrame
+    vectors: DataFrame
+    centers: np.ndarray
+    books: np.ndarray  # subspaces x words x dimensions of a subspace
+    pieces: dict[int, int]
+
+
+def _lloyd(x: np.ndarray, words: int, rounds: int, seed: int) -> np.ndarray:
+    """k-means of a bounded sample; at most as many words as distinct rows."""
+    x = x.astype(np.float64)
+    distinct = np.unique(x, axis=0)
+    book = distinct[np.random.default_rng(seed).permutation(len(distinct))[:words]]
+    for _ in range(rounds):
+        near = _nearest(x, book)
+        n = np.bincount(near, minlength=len(book))
+        sums = np.stack([np.bincount(near, weights=x[:, j], minlength=len(book)) for j in range(x.shape[1])], axis=1)
+        book = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], book)
+    return np.concatenate([book, np.repeat(book[:1], words - len(book), axis=0)]) if len(book) < words else book
+
+
+def _nearest(x: np.ndarray, book: np.ndarray) -> np.ndarray:
+    out = np.empty(len(x), np.int64)
+    for a in range(0, len(x), step := max(1, _CELLS // len(book))):
+        part = x[a:a + step]
+        out[a:a + step] = ((book ** 2).sum(1)[None, :] - 2 * part @ book.T).argmin(1)
+    return out
+
+
+def build_code_index(vectors: DataFrame, cells: int = 64, subspaces: int = 8, words: int = CODES, rounds: int = 10, seed: int = 42,
+                     sample: int = SAMPLE) -> CodeIndex:
+    """Index of every vector (id, vec); only centroids and code books come from a sample of ``sample`` rows.
+
+    Vectors that are null, or hold null or non-finite numbers, or another number of dimensions than the
+    sample's, are left out. ``subspaces`` is lowered to the number of dimensions where it exceeds it.
+    """
+    fine = cut_lineage(vectors.select("id", F.col("vec").cast("array<double>").alias("vec")).where(
+        F.col("vec").isNotNull() & (F.size("vec") > 0) & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))))
+    part = fine.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample).toPandas()  # ``sample`` rows at most
+    if not len(part):
+        raise ValueError("no vector to index")
+    dims = part["vec"].map(len).mode()[0]
+    m = _matrix(part["vec"][part["vec"].map(len) == dims])
+    fine = cut_lineage(fine.where(F.size("vec") == int(dims)))
+    centers = _lloyd(m, min(cells, len(m)), rounds, seed)
+    rest = m - centers[_nearest(m, centers)]
+    parts = min(subspaces, m.shape[1])
+    ends = np.linspace(0, m.shape[1], parts + 1).astype(int)
+    wide = int(np.diff(ends).max())
+    # subspaces of unlike width are padded with zeros, which add nothing to distances and products
+    books = np.stack([np.pad(_lloyd(rest[:, a:b], words, rounds, seed), ((0, 0), (0, wide - (b - a)))) for a, b in zip(ends, ends[1:])])
+    shipped = vectors.sparkSession.sparkContext.broadcast((centers, books, ends))
+
+    def encode(frames):
+        centers, books, ends = shipped.value
+        for f in frames:
+            x = _matrix(f["vec"])
+            if not len(x):
+                continue
+            cell = _nearest(x, centers)
+            left = x - centers[cell]
+            code = np.stack([_nearest(left[:, a:b], book[:, : b - a]) for book, a, b in zip(books, ends, ends[1:])], axis=1).astype(np.uint8)
+            yield pd.DataFrame({"id": f["id"], "cell": cell.astype(np.int32), "code": [c.tobytes() for c in code]})
+
+    kind = vectors.schema["id"].dataType.simpleString()
+    coded = cut_lineage(fine.mapInPandas(encode, f"id {kind}, cell int, code binary"))
+    counts = coded.groupBy("cell").count().collect()  # one number per cell
+    pieces = {r["cell"]: -(-r["count"] // CELL_ROWS) for r in counts}
+    rows = coded.join(F.broadcast(_piece_table(vectors.sparkSession, pieces)), "cell").select(
+        "cell", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int").alias("piece"), "id", "code")
+    return CodeIndex(bucketed(rows, ["cell", "piece"], "codes"), fine, centers, books, pieces)
+
+
+def _piece_table(spark, pieces: dict[int, int]) -> DataFrame:
+    return spark.createDataFrame(sorted(pieces.items()) or [(-1, 1)], "cell int, pieces int")
+
+
+def code_search(index: CodeIndex, queries: DataFrame, k: int, probes: int = 8, refine: int = REFINE) -> DataFrame:
+    """Approximate top ``k`` by inner product: (query_id, id, score, rank), larger ids first among ties.
+
+    A query (query_id, vec) visits the ``probes`` cells whose centroids score best; rows there are scored from
+    tables of products of its subspaces with the code words, ``refine`` x ``k`` of them per query are looked up and
+    scored exactly. Only the choice of candidates is approximate, and with all cells and rows it is exact.
+    """
+    centers, books = index.centers, index.books
+    ends = np.linspace(0, centers.shape[1], len(books) + 1).astype(int)
+    shipped = queries.sparkSession.sparkContext.broadcast(centers)
+
+    @F.pandas_udf("array<int>")
+    def visited(v: pd.Series) -> pd.Series:
+        s = _matrix(v) @ shipped.value.T
+        return pd.Series(list(np.argsort(-s, axis=1, kind="stable")[:, :probes].astype(np.int32)))
+
+    asked = queries.select("query_id", F.col("vec").cast("array<double>").alias("vec"))
+    q = asked.withColumn("cell", F.explode(visited("vec"))).join(F.broadcast(_piece_table(queries.sparkSession, index.pieces)), "cell")
+    q = q.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
+    many = refine * k
+    kinds = queries.schema["query_id"].dataType.simpleString(), index.rows.schema["id"].dataType.simpleString()
+
+    def scan(qf: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(qf) or not len(rows):
+            return pd.DataFrame({"query_id": [], "id": [], "near": []})
+        code = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
+        ids, out = rows["id"].to_numpy(), []
+        for a in range(0, len(qf), step := max(1, _CELLS // len(rows))):
+            x = _matrix(qf["vec"][a:a + step])
+            score = np.repeat((x @ centers[int(rows["cell"].iloc[0])])[:, None], len(rows), axis=1)
+            for j, (lo, hi) in enumerate(zip(ends, ends[1:])):
+                score += (x[:, lo:hi] @ books[j][:, : hi - lo].T)[:, code[:, j]]
+            best = np.argpartition(-score, min(many, len(rows)) - 1, axis=1)[:, :many]
+            at = np.arange(len(x))[:, None]
+            out.append(pd.DataFrame({"query_id": np.repeat(qf["query_id"].to_numpy()[a:a + step], best.shape[1]), "id": ids[best].ravel(), "near": score[at, best].ravel()}))
+        return pd.concat(out)
+
+    near = q.groupBy("cell", "piece").cogroup(index.rows.groupBy("cell", "piece")).applyInPandas(scan, f"query_id {kinds[0]}, id {kinds[1]}, near double")
+    w = W.partitionBy("query_id")
+    few = near.withColumn("_r", F.row_number().over(w.orderBy(F.desc("near"), F.desc("id")))).filter(F.col("_r") <= many)
+    exact = few.select("query_id", "id").join(index.vectors, "id").join(asked.select("query_id", F.col("vec").alias("_q")), "query_id").select(
+        "query_id", "id", F.round(dot("_q", "vec"), DECIMALS).alias("score"))
+    return exact.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), F.desc("id")))).filter(F.col("rank") <= k)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """(query_id, hits, wanted): results of a search among those of the exact one."""
+    hit = found.select("query_id", "id", F.lit(1).alias("_h"))
+    return exact.select("query_id", "id").join(hit, ["query_id", "id"], "left").groupBy("query_id").agg(
+        F.count("_h").alias("hits"), F.count("*").alias("wanted"))

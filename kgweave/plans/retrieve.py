@@ -19,6 +19,10 @@ from ..operators.quality import fuzzy_keywords
 from ..session import cut_lineage, dense_index
 
 
+OVERLAP_BLOCK = 1024  # rows of a block of the word lists
+R_DECIMALS = 12  # ranks are compared at this precision, so that equal ones tie
+
+
 @dataclass(frozen=True)
 class InferenceConfig:
     """The defaults of the retrieval recipes."""
@@ -158,25 +162,82 @@ def merge_seeds(node_scores: DataFrame, text_scores: DataFrame) -> DataFrame:
         "query_id", "id", F.coalesce("_t", "_n").alias("score"))
 
 
-def fact_rank_passages(queries: DataFrame, g: G.Graph, edges: DataFrame, passages: DataFrame, encode: Callable[[Column], Column],
+def fact_rank_passages(queries: DataFrame, g: G.Graph | R.StoredEdges, edges: DataFrame, passages: DataFrame, encode: Callable[[Column], Column],
                        k: int = 5, config: InferenceConfig = InferenceConfig(), seeds: DataFrame | None = None,
                        keep_facts: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Best facts and all passages seed the rank; the best passages are returned.
 
     A question without node seeds falls back to plain passage similarity. ``g`` must contain the
-    searchable nodes and the passages.
+    searchable nodes and the passages. This form runs the recipe's rounds, from a uniform start until the change
+    falls below n * tol, with one restart weight per question and passage; `converged_fact_passages` is
+    the form for many questions and passages.
     """
     node_scores = cut_lineage(seeds if seeds is not None else edge_seeds(queries, edges, config.topk_edges, encode, keep_facts))
     text_scores = cut_lineage(V.dense_scores(queries, passages, config.weight_adjust))
     with_nodes = node_scores.select("query_id").distinct()
     weights = merge_seeds(node_scores, text_scores).join(with_nodes, "query_id", "left_semi").withColumnRenamed("score", "weight")
-    ranks = R.personalized_pagerank(g.edges, g.vertices, weights, config.ppr_alpha, config.ppr_max_iter, config.ppr_tol)
+    ranks = R.personalized_pagerank(g if isinstance(g, R.StoredEdges) else g.edges, g.vertices, weights, config.ppr_alpha, config.ppr_max_iter, config.ppr_tol)
     ranked = ranks.top(passages, k).filter("rank > 0").select("query_id", "id", F.col("rank").alias("score"), F.col("position").alias("rank"))
     w = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
     plain = text_scores.join(with_nodes, "query_id", "left_anti").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return ranked.unionByName(plain.select("query_id", "id", "score", "rank"))
 
 
+def converged_fact_passages(queries: DataFrame, g: G.Graph | R.StoredEdges, edges: DataFrame, passages: DataFrame, encode: Callable[[Column], Column],
+                            k: int = 5, config: InferenceConfig = InferenceConfig(), seeds: DataFrame | None = None,
+                            keep_facts: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """`fact_rank_passages` at the fixed point of the rank, without a row per question and passage.
+
+    A question without node seeds falls back to plain passage similarity. ``g`` must contain the
+    searchable nodes and the passages.
+
+    The rank is linear in its restart, and a passage's restart weight, the scaled inner product, is linear in
+    the question's vector. So one rank per vector dimension, and one of the constant, is made for all
+    questions together; a question's part is an inner product with these, searched like any vectors. Only
+    the few node seeds are pushed per question. ``config.ppr_tol`` bounds what is missing of each rank.
+    """
+    node_scores = cut_lineage(seeds if seeds is not None else edge_seeds(queries, edges, config.topk_edges, encode, keep_facts))
+    near = cut_lineage(V.topk(queries, passages, k))
+    scaled = V.min_max("score", "lo", "hi") * config.weight_adjust
+    with_nodes = cut_lineage(node_scores.select("query_id").distinct())
+    w = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
+    plain = near.join(with_nodes, "query_id", "left_anti").select("query_id", "id", scaled.alias("score")).withColumn("rank", F.row_number().over(w))
+    dims = (passages.select(F.size("vec")).first() or [None])[0]
+    if dims is None:
+        return plain
+    graph = g if isinstance(g, R.StoredEdges) else R.store_edges(g.edges, g.vertices)
+
+    # where an id is both node and passage the passage's score stands
+    own = node_scores.join(passages.select("id"), "id", "left_anti").join(graph.vertices.select("id"), "id", "left_semi").where("score > 0")
+    own = cut_lineage(own.groupBy("query_id", "id").agg(F.sum("score").alias("w")))
+    mass = own.groupBy("query_id").agg(F.sum("w").alias("mass"))
+    y = R.converged_rank(graph, own.join(mass, "query_id").select("query_id", "id", (F.col("w") / F.col("mass")).alias("y")),
+                         config.ppr_alpha, config.ppr_tol, ["y"], ["query_id"])
+    pushed = cut_lineage(y.join(mass, "query_id").select("query_id", "id", (F.col("y") * F.col("mass")).alias("y")))
+
+    columns = [f"d{i}" for i in range(dims + 1)]
+    basis = passages.select("id", *[F.col("vec")[i].cast("double").alias(c) for i, c in enumerate(columns[:-1])], F.lit(1.0).alias(columns[-1]))
+    basis = cut_lineage(R.converged_rank(graph, basis, config.ppr_alpha, config.ppr_tol, columns).select("id", F.array(*columns).alias("vec")))
+    sums = basis.agg(*[F.coalesce(F.sum(F.col("vec")[i]), F.lit(0.0)) for i in range(dims + 1)]).first()  # one number per dimension
+    flat, span = F.col("hi") == F.col("lo"), F.col("hi") - F.col("lo")
+    coefficients = queries.join(with_nodes, "query_id", "left_semi").join(near.select("query_id", "lo", "hi").distinct(), "query_id").select(
+        "query_id", F.transform(F.concat(F.transform("vec", lambda x: F.when(flat, 0.0).otherwise(x.cast("double") / span)),
+                                         F.array(F.when(flat, 1.0).otherwise(-F.col("lo") / span))), lambda x: x * config.weight_adjust).alias("vec"))
+    coefficients = cut_lineage(coefficients)
+
+    # what seeds push is never negative: a passage they do not reach needs one of the k best of the rest
+    texts = basis.join(passages.select("id"), "id", "left_semi")
+    best = V.topk(coefficients, texts, k, id_ascending=True).select("query_id", "id", F.lit(0.0).alias("y"))
+    rows = best.unionByName(pushed.join(texts.select("id"), "id", "left_semi")).groupBy("query_id", "id").agg(F.sum("y").alias("y"))
+    whole = pushed.groupBy("query_id").agg(F.sum("y").alias("pushed"))
+    total = coefficients.join(whole, "query_id", "left").select("query_id", F.col("vec").alias("_c"), (F.coalesce("pushed", F.lit(0.0)) + dot(
+        "vec", F.array(*[F.lit(float(x)) for x in sums]))).alias("total"))
+    scored = rows.join(texts.select("id", "vec"), "id").join(total, "query_id").select(
+        "query_id", "id", F.round((F.col("y") + dot("_c", "vec")) / F.col("total"), R_DECIMALS).alias("score"))
+    ranked = scored.where("score > 0").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return ranked.unionByName(plain)
+
+
 def passage_scores(node_scores: DataFrame, text_edges: DataFrame, k: int) -> DataFrame:
     """Sum node scores per linked passage, best ``k``: node_scores (query_id, id, score), edges id -> text_id."""
     s = node_scores.join(text_edges, "id").groupBy("query_id", "text_id").agg(F.sum("score").alias("score"))
@@ -315,20 +376,15 @@ def first_nodes(queries: DataFrame, nodes: DataFrame, k: int = 3, scan: int = 20
     return V.topk(queries, head, k).select("query_id", "id", "rank", "score")
 
 
-def word_overlap(queries: DataFrame, nodes: DataFrame, k: int = 3) -> DataFrame:
+def word_overlap(queries: DataFrame, nodes: DataFrame, k: int = 3, block: int = OVERLAP_BLOCK) -> DataFrame:
     """Shared words damped by length: overlap / (1 + words/10), best ``k`` with a positive score.
 
-    A question without any shared word gets the first ``k`` nodes (score NULL). Words are matched
-    by an equi-join on the few distinct question words.
+    A question without any shared word gets the first ``k`` nodes (score NULL). See `overlap_candidates`.
     """
-    split = lambda t: F.array_distinct(F.filter(F.split(squeeze(F.lower(t)), " "), lambda x: x != ""))
-    q = queries.select("query_id", F.explode(split(F.col("text"))).alias("word"))
-    n = nodes.select("id", split(F.col("text")).alias("_w"))
-    hit = n.select("id", F.size("_w").alias("n_words"), F.explode("_w").alias("word")).join(q, "word").groupBy("query_id", "id").agg(
-        F.count("*").alias("_o"), F.first("n_words").alias("n_words"))
-    s = hit.select("query_id", "id", (F.col("_o") * (F.lit(1.0) / (1.0 + F.col("n_words") / 10.0))).alias("score"))
+    index = overlap_index(queries, nodes, block)
     w = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
-    best = s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    best = index.scores(overlap_candidates(index, k)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    best = cut_lineage(best.select("query_id", "id", "score", "rank"))
     first = [r["id"] for r in nodes.select("id").orderBy("id").limit(k).collect()]  # k ids
     lost = queries.select("query_id").join(best.select("query_id").distinct(), "query_id", "left_anti")
     if not first:
@@ -338,6 +394,64 @@ def word_overlap(queries: DataFrame, nodes: DataFrame, k: int = 3) -> DataFrame:
     return best.unionByName(fallback)
 
 
+@dataclass(frozen=True)
+class OverlapIndex:
+    """Inverted lists of the questions' words, each in blocks from short to long nodes.
+
+    ``terms``: query_id, word, place (1 for the question's most frequent word); ``postings``: word, block, id,
+    damp; ``blocks``: word, block, damp and id of its first row, which no later row beats.
+    """
+
+    texts: DataFrame
+    nodes: DataFrame
+    terms: DataFrame
+    postings: DataFrame
+    blocks: DataFrame
+
+    def scores(self, pairs: DataFrame) -> DataFrame:
+        """Exact scores of candidates (query_id, id) from the whole word sets."""
+        both = pairs.distinct().join(self.nodes, "id").join(self.texts, "query_id")
+        return both.select("query_id", "id", (F.size(F.array_intersect("words", "asked")) * F.col("damp")).alias("score"))
+
+
+def overlap_index(queries: DataFrame, nodes: DataFrame, block: int = OVERLAP_BLOCK) -> OverlapIndex:
+    split = lambda t: F.array_distinct(F.filter(F.split(squeeze(F.lower(t)), " "), lambda x: x != ""))
+    texts = cut_lineage(queries.select("query_id", split(F.col("text")).alias("asked")))
+    kept = cut_lineage(nodes.select("id", split(F.col("text")).alias("words")).select("id", "words", (F.lit(1.0) / (1.0 + F.size("words") / 10.0)).alias("damp")))
+    wanted = cut_lineage(texts.select(F.explode("asked").alias("word")).distinct())
+    lists = kept.select("id", "damp", F.explode("words").alias("word")).join(wanted, "word", "left_semi")
+    # one parallel sort of all lists; a word that every node holds spans many partitions and many blocks
+    postings = dense_index(lists, ["word", F.desc("damp"), "id"], "_at").withColumn("block", F.floor(F.col("_at") / block))
+    counts = postings.groupBy("word").agg(F.count("*").alias("n"))
+    w = W.partitionBy("query_id").orderBy(F.desc("n"), "word")  # the words of one question
+    terms = texts.select("query_id", F.explode("asked").alias("word")).join(counts, "word").select("query_id", "word", F.row_number().over(w).alias("place"))
+    first = F.min(F.struct((-F.col("damp")).alias("d"), "id")).alias("f")
+    blocks = postings.groupBy("word", "block").agg(first).select("word", "block", (-F.col("f.d")).alias("damp"), F.col("f.id").alias("id"))
+    return OverlapIndex(texts, kept, cut_lineage(terms), postings, cut_lineage(blocks))
+
+
+def overlap_candidates(index: OverlapIndex, k: int) -> DataFrame:
+    """(query_id, id): all nodes that may be among the best ``k``, found in the blocks that their bounds leave.
+
+    The first block of every list, its shortest nodes, gives each question a k-th best score to beat. A node
+    that shares o of a question's words is in the list of the rarest of them, whose place is at least o; so in the
+    list at place i a node scores at most i * damp, and a block whose first row cannot reach the k-th best (or
+    ties it behind the k-th id) is never opened. A word that all nodes hold is at place 1: of its list only nodes
+    whose damping alone beats the k-th best are read.
+    """
+    lists = index.terms.join(index.blocks, "word")
+    start = index.blocks.groupBy("word").agg((F.min("block") + 1).alias("start"))
+    opened = lists.join(start, "word").where(F.col("block") <= F.col("start")).select("query_id", "word", "block")
+    tried = cut_lineage(opened.join(index.postings.select("word", "block", "id"), ["word", "block"]).select("query_id", "id").distinct())
+    w = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
+    bar = index.scores(tried).withColumn("_r", F.row_number().over(w)).where(F.col("_r") == k).select("query_id", F.col("score").alias("bar"), F.col("id").alias("last"))
+    reach = lambda: F.col("bar").isNull() | (F.col("place") * F.col("damp") > F.col("bar")) | (
+        (F.col("place") * F.col("damp") == F.col("bar")) & (F.col("id") <= F.col("last")))
+    left = lists.join(cut_lineage(bar), "query_id", "left").where(reach()).select("query_id", "word", "block", "place", "bar", "last")
+    found = left.join(index.postings, ["word", "block"]).where(reach()).select("query_id", "id")
+    return cut_lineage(tried.unionByName(found).distinct())
+
+
 # Words never taken as entities by the keyword recipes.
 KEYWORD_STOP = ("is", "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by",
                 "what", "who", "how", "where", "when", "why")

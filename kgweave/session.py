@@ -62,15 +62,21 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def _ranged(df: DataFrame, order_by: list) -> DataFrame:
-    """Globally sorted, lineage-cut copy of ``df`` carrying (_pid, _off): partition and offset."""
+    """Globally sorted, lineage-cut copy of ``df`` carrying (_pid, _off): partition and offset.
+
+    The sort reads its input twice, for the ranges and for the rows: it is kept until both are done.
+    """
     n = shuffle_width(df.sparkSession)
+    kept = df.persist()
     rows = (
-        df.repartitionByRange(n, *order_by)
+        kept.repartitionByRange(n, *order_by)
         .sortWithinPartitions(*order_by)
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_off", F.monotonically_increasing_id().bitwiseAND(F.lit(_OFFSET_MASK)))
     )
-    return cut_lineage(rows)
+    done = cut_lineage(rows)
+    kept.unpersist()
+    return done
 
 
 def dense_index(df: DataFrame, order_by: list, name: str = "pos") -> DataFrame:
@@ -128,3 +134,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
+def bucketed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """A table written once, bucketed and sorted by ``keys`` below the shared checkpoint folder: later joins and
+    aggregates on these keys read each bucket where it lies, without an exchange."""
+    import uuid
+
+    spark = df.sparkSession
+    n, title = shuffle_width(spark), f"{name}_{uuid.uuid4().hex}"
+    (df.repartition(n, *keys).write.format("parquet").bucketBy(n, *keys).sortBy(*keys)
+     .option("path", scratch_path(spark, name)).saveAsTable(title))
+    return spark.table(title)
