@@ -367,8 +367,9 @@ def walk_rank(spark, d):
     """Seeded walk samples of all regions and nations and the source-restart rank on them."""
     e = trade_edges(spark, d).select("src", "dst")
     both = cut_lineage(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    sources = table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"))
-    s = R.walk_sample(both, sources, area=60, steps=6)
+    sources = table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id")).unionByName(
+        table(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id")))
+    s = R.walk_sample(both, sources)
     return R.source_rank(both, s)
 
 

@@ -161,9 +161,9 @@ def passage_scores(spark, d):
 
 
 @query("q_retrieved_text_count", WITH_KG + """
-SELECT name AS id, count(DISTINCT text_id) AS n_texts FROM mentions WHERE kind = 0 GROUP BY name HAVING count(DISTINCT text_id) > 1""")
+SELECT name AS id, count(DISTINCT text_id) AS n_texts FROM mentions GROUP BY name HAVING count(DISTINCT text_id) > 1""")
 def retrieved_text_count(spark, d):
-    t = kg(spark, d).triples.filter("kind = 0")
+    t = kg(spark, d).triples
     return X.mentions(t).groupBy(F.col("name").alias("id")).agg(F.countDistinct("text_id").alias("n_texts")).filter("n_texts > 1")
 
 
@@ -193,14 +193,14 @@ def text_retriever(spark, d):
 
 
 def kg_fact_rows(spark, d):
-    """Distinct entity triples as searchable edges."""
-    t = kg(spark, d).triples.filter("kind = 0").select("head", "relation", "tail").distinct()
+    """Distinct triples of all three kinds as searchable edges."""
+    t = kg(spark, d).triples.select("head", "relation", "tail").distinct()
     return t.withColumn("id", triple_text("head", "relation", "tail", "plain")).withColumn("vec", models.hash_embedding("id"))
 
 
 @query("q_edge_retriever", WITH_KG + "," + QUESTIONS + f"""
 es AS (SELECT id, text, {embed_sql('id')} AS vec FROM (
-  SELECT DISTINCT head || ' ' || relation || ' ' || tail AS id, head || '  ' || relation || '  ' || tail AS text FROM triples WHERE kind = 0)),
+  SELECT DISTINCT head || ' ' || relation || ' ' || tail AS id, head || '  ' || relation || '  ' || tail AS text FROM triples)),
 s AS (SELECT q.query_id, e.id, e.text, {dot_sql('q.vec', 'e.vec')} AS score FROM qs q, es e)
 SELECT query_id, id, text, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) AS INTEGER) AS rank FROM s
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) <= 5""")
@@ -209,15 +209,15 @@ def edge_retriever(spark, d):
 
 
 def kg_nodes(spark, d, flat=None):
-    """Searchable entity nodes with vectors: id (name hash), name, vec."""
+    """Searchable nodes with vectors: id (name hash), name, vec."""
     f = flat or kg(spark, d)
-    n = X.first_mentions(f.triples).filter("type = 'entity'")
+    n = X.first_mentions(f.triples)
     return n.select(sha_id("name").alias("id"), "name", "type", F.col("text_id").alias("file_id"), models.hash_embedding("name").alias("vec"), "ord")
 
 
 @query("q_degree_blend", WITH_KG + "," + QUESTIONS + f"""
-ns AS (SELECT name AS id, {embed_sql('name')} AS vec FROM nodes WHERE type = 'entity'),
-e AS (SELECT DISTINCT head, tail FROM triples WHERE kind = 0),
+ns AS (SELECT name AS id, {embed_sql('name')} AS vec FROM nodes),
+e AS (SELECT DISTINCT head, tail FROM triples),
 dg AS (SELECT name, count(*) AS c FROM (SELECT head AS name FROM e UNION ALL SELECT tail FROM e) GROUP BY name),
 nd AS (SELECT ns.*, 0.3 * coalesce(dg.c, 0) / (SELECT max(c) FROM dg JOIN ns ON ns.id = dg.name) AS bias FROM ns LEFT JOIN dg ON dg.name = ns.id),
 s AS (SELECT q.query_id, n.id, round(0.7 * list_dot_product(CAST(q.vec AS DOUBLE[]), CAST(n.vec AS DOUBLE[])) /
@@ -226,8 +226,8 @@ SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 3""")
 def degree_blend(spark, d):
     t = cut_lineage(kg(spark, d).triples)
-    n = X.first_mentions(t).filter("type = 'entity'").select(F.col("name").alias("id"), models.hash_embedding("name").alias("vec"))
-    e = t.filter("kind = 0").select(F.col("head").alias("src"), F.col("tail").alias("dst")).distinct()
+    n = X.first_mentions(t).select(F.col("name").alias("id"), models.hash_embedding("name").alias("vec"))
+    e = t.select(F.col("head").alias("src"), F.col("tail").alias("dst")).distinct()
     return Q.degree_blend(questions(spark, d), n, e, 3)
 
 
@@ -296,18 +296,18 @@ def keyword_concepts(spark, d):
 def neighbour_expansion(spark, d):
     f = X.flatten(cut_lineage(models.rule_extraction(documents(spark, d))))
     n = kg_nodes(spark, d, f).select("id", "vec")
-    e = f.triples.filter("kind = 0").select(sha_id("head").alias("src"), sha_id("tail").alias("dst"))
+    e = f.triples.select(sha_id("head").alias("src"), sha_id("tail").alias("dst"))
     return Q.neighbour_expansion(questions(spark, d), n, e, 3)
 
 
-def entity_graph(spark, d):
-    """Graph of the entity nodes plus their files (every passage that mentions a node)."""
+def named_graph(spark, d):
+    """Graph of all nodes and first-wins edges of the three kinds of triples, plus the files that mention a node."""
     t = cut_lineage(kg(spark, d).triples)
-    n = cut_lineage(X.first_mentions(t).filter("type = 'entity'").select(
+    n = cut_lineage(X.first_mentions(t).select(
         sha_id("name").alias("id"), "name", "type", F.col("text_id").alias("file_id"), models.hash_embedding("name").alias("vec")))
-    e = cut_lineage(t.filter("kind = 0").groupBy(sha_id("head").alias("src"), sha_id("tail").alias("dst")).agg(
-        F.min_by("relation", F.struct("line_no", "item")).alias("relation")))
-    files = X.mentions(t.filter("kind = 0")).select(sha_id("name").alias("id"), F.col("text_id").alias("file_id")).distinct()
+    e = cut_lineage(t.groupBy(sha_id("head").alias("src"), sha_id("tail").alias("dst")).agg(
+        F.min_by("relation", F.struct("line_no", "kind", "item", "member")).alias("relation")))
+    files = cut_lineage(X.mentions(t).select(sha_id("name").alias("id"), F.col("text_id").alias("file_id")).distinct())
     return G.Graph(n.select("id", "name", "type", "file_id"), e), n, files
 
 
@@ -361,9 +361,10 @@ restart AS MATERIALIZED (SELECT query_id, id, w FROM nd WHERE id NOT IN (SELECT
 """
 
 
-# a question's entities and the node nearest to each
+# a question's entities and the node nearest to each (words with other than ASCII letters are blanked out: the
+# SQL engine's word boundary knows ASCII only)
 _ENTITIES = f"""
-rn AS (SELECT query_id, text, list_filter(regexp_extract_all(text, '\\b[A-Z][a-z]+\\b(?:[ \\t\\n\\x0B\\f\\r]+[A-Z][a-z]+\\b)*'), lambda x: NOT list_contains([{", ".join(f"'{w}'" for w in models.QUESTION_WORDS)}], x))[1:3] AS es FROM qs),
+rn AS (SELECT query_id, text, list_filter(regexp_extract_all(regexp_replace(text, '[\\p{{L}}\\p{{Nd}}_]*[^\\x00-\\x7F\\p{{P}}\\p{{S}}\\p{{Z}}\\p{{C}}][\\p{{L}}\\p{{Nd}}_]*', '0', 'g'), '\\b[A-Z][a-z]+\\b(?:[ \\t\\n\\x0B\\f\\r]+[A-Z][a-z]+\\b)*'), lambda x: NOT list_contains([{", ".join(f"'{w}'" for w in models.QUESTION_WORDS)}], x))[1:3] AS es FROM qs),
 en AS (SELECT DISTINCT query_id, unnest(CASE WHEN len(es) > 0 THEN es ELSE [text] END) AS entity FROM rn),
 ev AS MATERIALIZED (SELECT entity, {embed_sql('entity')} AS vec FROM (SELECT DISTINCT entity FROM en)),
 nq AS MATERIALIZED (SELECT ev.entity, n.id, {dot_sql('ev.vec', 'n.vec')} AS score FROM ev, ns n),
@@ -455,21 +456,19 @@ def entity_rank_passages(spark, d):
 
 @query("q_path_retriever")
 def path_retriever(spark, d):
-    g, n, _ = entity_graph(spark, d)
+    g, n, _ = named_graph(spark, d)
     return Q.path_retriever(questions(spark, d), g.edges, n, models.capital_entities("text"), encode,
-                            lambda: F.pmod(F.xxhash64("query_id", "tail"), F.lit(6)), k=3, config=Q.InferenceConfig(depth=1))
+                            lambda: F.pmod(F.xxhash64("query_id", "tail"), F.lit(6)))
 
 
 @query("q_large_graph_passages")
 def large_graph_passages(spark, d):
-    g, n, files = entity_graph(spark, d)
-    return Q.large_graph_passages(questions(spark, d), g, n, files.withColumnRenamed("file_id", "text_id"), models.capital_entities("text"),
-                                  encode, Q.LargeGraphConfig(sources_per_entity=2, area=50))
+    g, n, files = named_graph(spark, d)
+    return Q.large_graph_passages(questions(spark, d), g, n, files.withColumnRenamed("file_id", "text_id"), models.capital_entities("text"), encode)
 
 
 @query("q_large_graph_paths")
 def large_graph_paths(spark, d):
-    g, n, _ = entity_graph(spark, d)
+    g, n, _ = named_graph(spark, d)
     return Q.large_graph_paths(questions(spark, d), g.edges, n, models.capital_entities("text"), encode,
-                               score=F.size("path"), rate=F.pmod(F.xxhash64("query_id", "tail"), F.lit(6)),
-                               stop_words=["the", "of"], config=Q.LargeGraphConfig(depth=2))
+                               score=F.size("path"), rate=F.pmod(F.xxhash64("query_id", "tail"), F.lit(6)), stop_words=["the", "of"])

@@ -110,7 +110,7 @@ def entity_rank_passages(queries: DataFrame, g: G.Graph, nodes: DataFrame, node_
     weights = seeds.join(G.file_frequency_weight(node_files), "id").select("query_id", "id", "weight")
     ranks = R.personalized_pagerank(g.edges, g.vertices, weights, alpha=alpha, tol=tol)
     sums = ranks.rounded().join(node_files.filter(F.col("file_id") != G.CONCEPT_FILE).distinct(), "id").groupBy(
-        "query_id", "file_id").agg(F.sum("rank").alias("score"))
+        "query_id", "file_id").agg(F.round(F.sum("rank"), 9).alias("score"))  # sums of four places: equal ones tie
     w = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("file_id"))
     return sums.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
