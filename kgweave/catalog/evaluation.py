@@ -306,11 +306,45 @@ def few_shot(spark, d):
     return M.few_shot(docs, docs, "doc_id", 3)
 
 
-@query("q_bleu_chrf")
+def tokens_13a_sql(text: str) -> str:
+    out = f"rtrim({text})"
+    for old, new in M.TOKENS_13A[:7]:
+        out = "replace(" + out + ", '" + old.replace("\n", "' || chr(10) || '") + "', '" + new + "')"
+    out = f"' ' || {out} || ' '"
+    for old, new in M.TOKENS_13A[7:]:
+        out = "regexp_replace(" + out + ", '" + old + "', '" + new.replace("$", "\\") + "', 'g')"
+    return f"list_filter(regexp_split_to_array({out}, '\\s+'), lambda w: w <> '')"
+
+
+# predictions against the question itself and the conversation's first question
+_BLEU_SQL = "WITH" + PAIRS + f"""
+two AS (SELECT conv_id, turn, pred, gold, min_by(gold, turn) OVER (PARTITION BY conv_id) AS other FROM pairs),
+tk AS MATERIALIZED (SELECT row_number() OVER () AS k, {tokens_13a_sql('pred')} AS p, {tokens_13a_sql('gold')} AS a, {tokens_13a_sql('other')} AS b FROM two),
+nn AS (SELECT unnest([1, 2, 3, 4]) AS n),
+gp AS (SELECT k, n, array_to_string(p[i:i + n - 1], ' ') AS g, count(*) AS c FROM (SELECT k, n, p, unnest(range(1, len(p) - n + 2)) AS i FROM tk, nn) GROUP BY ALL),
+ga AS (SELECT k, n, array_to_string(a[i:i + n - 1], ' ') AS g, count(*) AS c FROM (SELECT k, n, a, unnest(range(1, len(a) - n + 2)) AS i FROM tk, nn) GROUP BY ALL),
+gb AS (SELECT k, n, array_to_string(b[i:i + n - 1], ' ') AS g, count(*) AS c FROM (SELECT k, n, b, unnest(range(1, len(b) - n + 2)) AS i FROM tk, nn) GROUP BY ALL),
+h AS (SELECT n, sum(least(gp.c, greatest(coalesce(ga.c, 0), coalesce(gb.c, 0)))) AS hit, sum(gp.c) AS total FROM gp LEFT JOIN ga USING (k, n, g) LEFT JOIN gb USING (k, n, g) GROUP BY n),
+sh AS (SELECT n, CASE WHEN hit > 0 THEN hit ELSE pow(2.0, -sum((hit = 0)::INT) OVER (ORDER BY n)) END / total AS share FROM h),
+ln AS (SELECT sum(len(p)) AS pl, sum(CASE WHEN (abs(len(a) - len(p)), len(a)) <= (abs(len(b) - len(p)), len(b)) THEN len(a) ELSE len(b) END) AS rl FROM tk),
+cs AS MATERIALIZED (SELECT row_number() OVER () AS k, regexp_replace(pred, '{T.PY_WS}', '', 'g') AS p, regexp_replace(gold, '{T.PY_WS}', '', 'g') AS r FROM pairs),
+n6 AS (SELECT unnest([1, 2, 3, 4, 5, 6]) AS n),
+cp AS (SELECT k, n, substring(p, i, n) AS g, count(*) AS c FROM (SELECT k, n, p, unnest(range(1, length(p) - n + 2)) AS i FROM cs, n6) GROUP BY ALL),
+cr AS (SELECT k, n, substring(r, i, n) AS g, count(*) AS c FROM (SELECT k, n, r, unnest(range(1, length(r) - n + 2)) AS i FROM cs, n6) GROUP BY ALL),
+pn AS (SELECT n, sum(c) AS p FROM cp GROUP BY n), rn AS (SELECT n, sum(c) AS r FROM cr GROUP BY n),
+hn AS (SELECT n, sum(least(cp.c, cr.c)) AS h FROM cp JOIN cr USING (k, n, g) GROUP BY n),
+av AS (SELECT avg(coalesce(h, 0) / p) AS ap, avg(coalesce(h, 0) / r) AS ar FROM pn JOIN rn USING (n) LEFT JOIN hn USING (n))
+SELECT 'bleu' AS metric, round((SELECT 100 * CASE WHEN pl >= rl THEN 1.0 ELSE exp(1 - rl / pl) END FROM ln) * (SELECT exp(avg(ln(share))) FROM sh), 8) AS value
+UNION ALL SELECT 'chrf', round(100 * 5 * ap * ar / (4 * ap + ar), 8) FROM av"""
+
+
+@query("q_bleu_chrf", _BLEU_SQL)
 def bleu_chrf(spark, d):
     p = pairs(spark, d).withColumn("k", F.struct("conv_id", "turn"))
-    b, c = M.corpus_bleu(p, "pred", "gold", "k"), M.corpus_chrf(p, "pred", "gold", "k")
-    return b.select(F.lit("bleu").alias("metric"), F.col("bleu").alias("value")).unionByName(c.select(F.lit("chrf").alias("metric"), F.col("chrf").alias("value")))
+    other = p.groupBy("conv_id").agg(F.min_by("gold", "turn").alias("other"))
+    b = M.corpus_bleu(p.join(other, "conv_id").withColumn("refs", F.array("gold", "other")), "pred", "refs", "k")
+    c = M.corpus_chrf(p, "pred", "gold", "k")
+    return b.select(F.lit("bleu").alias("metric"), F.round("bleu", 8).alias("value")).unionByName(c.select(F.lit("chrf").alias("metric"), F.round("chrf", 8).alias("value")))
 
 
 # ---- contamination -----------------------------------------------------------------------------------------------

@@ -355,30 +355,54 @@ def few_shot(docs: DataFrame, pool: DataFrame, key: str, n: int, mode: str = "ra
     return got.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).select("doc", "example", "place")
 
 
-def corpus_bleu(df: DataFrame, pred: str, ref: str, key: str, order: int = 4) -> DataFrame:
-    """Corpus BLEU over white-space tokens: clipped n-gram counts are summed, never gathered."""
+# The published evaluation tokenizer "13a", as replacements made one after the other on the text with
+# a blank before and behind it.
+TOKENS_13A = (
+    ("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"),
+    (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" $1 "), (r"([^0-9])([\.,])", r"$1 $2 "), (r"([\.,])([^0-9])", r" $1 $2"), (r"([0-9])(-)", r"$1 $2 "))
+
+
+def tokens_13a(text) -> Column:
+    """Tokens of machine-translation scoring: punctuation and symbols apart, numbers whole."""
+    c = F.rtrim(F.col(text) if isinstance(text, str) else text)
+    for old, new in TOKENS_13A[:7]:
+        c = F.replace(c, F.lit(old), F.lit(new))
+    c = F.concat(F.lit(" "), c, F.lit(" "))
+    for old, new in TOKENS_13A[7:]:
+        c = F.regexp_replace(c, old, new)
+    return F.filter(F.split(c, r"\s+"), lambda x: x != "")
+
+
+def corpus_bleu(df: DataFrame, pred: str, ref: str, key: str, order: int = 4, smooth: bool = True) -> DataFrame:
+    """Corpus BLEU over 13a tokens: one row (bleu). ``ref`` is a text or an array of texts.
+
+    Clipped n-gram counts are summed per order, never gathered; a prediction's n-gram counts at most as often as
+    in the reference that has it most, and the reference nearest in length (the shorter of two) makes the
+    brevity penalty. With ``smooth`` an order without a match counts as half, a quarter, .. of a match, in turn;
+    without any match the score is 0. Null texts count as empty.
+    """
     from ..functions.arrays import ngrams
-    from ..functions.text import tokens
-    t = df.select(key, tokens(pred).alias("p"), tokens(ref).alias("r"))
-
-    def of_order(side, n):
-        return F.transform(ngrams(side, n), lambda g: F.struct(F.lit(n).alias("n"), F.array_join(g, " ").alias("g")))
+    many = df.schema[ref].dataType.simpleString().startswith("array")
+    refs = F.coalesce(ref, F.array().cast("array<string>")) if many else F.array(ref)
+    t = cut_lineage(df.select(F.col(key).alias("k"), tokens_13a(F.coalesce(pred, F.lit(""))).alias("p"), F.transform(
+        refs, lambda r: tokens_13a(F.coalesce(r, F.lit("")))).alias("rs")))
 
     def grams(side):
-        return F.flatten(F.array(*[of_order(side, n) for n in range(1, order + 1)]))
-    count = lambda side: t.select(key, F.explode(grams(side)).alias("x")).groupBy(key, "x.n", "x.g").agg(F.count("*").alias("c"))
-    both = count("p").join(count("r").withColumnRenamed("c", "rc"), [key, "n", "g"], "left")
-    hits = both.groupBy("n").agg(F.sum(F.least("c", F.coalesce("rc", F.lit(0)))).alias("hit"), F.sum("c").alias("all"),
-                                 F.lit(0).alias("pl"), F.lit(0).alias("rl"))
-    # order 0 carries the lengths
-    lens = t.agg(F.lit(0).alias("n"), F.lit(0).alias("hit"), F.lit(0).alias("all"), F.sum(F.size("p")).alias("pl"), F.sum(F.size("r")).alias("rl"))
-    scored = F.col("n") > 0
-    one = hits.unionByName(lens).agg(
-        F.avg(F.when(scored, F.log(F.col("hit") / F.col("all")))).alias("lp"), F.min(F.when(scored, F.col("hit"))).alias("low"),
-        F.count_if(scored).alias("orders"), F.max("pl").alias("pl"), F.max("rl").alias("rl"))
-    bp = F.when(F.col("pl") >= F.col("rl"), 1.0).otherwise(F.exp(1 - F.col("rl") / F.col("pl")))
-    return one.select(F.when((F.coalesce("low", F.lit(0)) == 0) | (F.col("orders") < order), 0.0).otherwise(
-        100 * bp * F.exp("lp")).alias("bleu"))
+        of = lambda n: F.transform(ngrams(side, n), lambda g: F.struct(F.lit(n).alias("n"), F.array_join(g, " ").alias("g")))
+        return F.flatten(F.array(*[of(n) for n in range(1, order + 1)]))
+    said = t.select("k", F.explode(grams("p")).alias("x")).groupBy("k", "x.n", "x.g").agg(F.count("*").alias("c"))
+    given = t.select("k", F.posexplode("rs").alias("i", "r")).select("k", "i", F.explode(grams("r")).alias("x")).groupBy("k", "i", "x.n", "x.g").agg(F.count("*").alias("c"))
+    most = given.groupBy("k", "n", "g").agg(F.max("c").alias("rc"))
+    hits = said.join(most, ["k", "n", "g"], "left").groupBy("n").agg(F.sum(F.least("c", F.coalesce("rc", F.lit(0)))).alias("hit"), F.sum("c").alias("all"))
+    near = F.array_min(F.transform("rs", lambda r: F.struct(F.abs(F.size(r) - F.size("p")).alias("d"), F.size(r).alias("n"))))["n"]
+    lengths = t.agg(F.coalesce(F.sum(F.size("p")), F.lit(0)).alias("pl"), F.coalesce(F.sum(near), F.lit(0)).alias("rl"))
+    # at most ``order`` rows from here on
+    w = W.orderBy("n").rowsBetween(W.unboundedPreceding, 0)
+    share = F.when(F.col("hit") > 0, F.col("hit")).otherwise(F.pow(F.lit(2.0), -F.sum((F.col("hit") == 0).cast("int")).over(w)) if smooth else F.lit(0.0)) / F.col("all")
+    parts = hits.withColumn("share", share).agg(F.sum("hit").alias("any"), F.count("*").alias("orders"), F.min("share").alias("least"), F.avg(F.log("share")).alias("lp"))
+    bp = F.when(F.col("pl") >= F.col("rl"), 1.0).when(F.col("pl") == 0, 0.0).otherwise(F.exp(1 - F.col("rl") / F.col("pl")))
+    none = (F.coalesce("any", F.lit(0)) == 0) | (F.col("orders") < order) | (F.col("least") == 0)
+    return parts.withColumn("_one", F.lit(1)).join(lengths.withColumn("_one", F.lit(1)), "_one").select(F.when(none, 0.0).otherwise(100 * bp * F.exp("lp")).alias("bleu"))
 
 
 def corpus_ter(df: DataFrame, pred: str, ref: str) -> DataFrame:
