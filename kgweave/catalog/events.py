@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import ranking as R
 from ..plans import evaluate as E
-from .base import documents, query, table
+from ..session import scratch_path
+from ..streaming import events as SE, ingest as SI
+from .base import ORACLES, WITH_KG, documents, query, table
 
 
 @query("q_event_windows", """
@@ -30,6 +32,43 @@ def event_sessions(spark, d):
         "user_id", "started", "last_event", "n_events")
 
 
+def _files(spark, d, name, schema):
+    """A given table as a stream of files."""
+    stream = spark.readStream.schema(schema).parquet(f"{d}/{name}.parque[t]")
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in stream.columns else stream  # stored without a time zone
+
+
+@query("q_event_windows_stream", ORACLES["q_event_windows"])
+def event_windows_stream(spark, d):
+    """The same windows from a stream of files under a watermark."""
+    base = scratch_path(spark, "windows")
+    events = _files(spark, d, "events", table(spark, d, "events").schema).select("ts", "user_id", "event_type", "value")
+    SE.write_windows(events, f"{base}/out", f"{base}/state").awaitTermination()
+    return SE.read_windows(spark.read.parquet(f"{base}/out")).withColumn("total", F.round("total", 6)).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+@query("q_event_sessions_stream", ORACLES["q_event_sessions"])
+def event_sessions_stream(spark, d):
+    """The same sessions from a stream of files; rows far ahead, in two batches, close those still open."""
+    base = scratch_path(spark, "sessions")
+    for day in (1, 2):
+        spark.range(1).select(F.lit(f"2200-01-0{day}").cast("timestamp").alias("ts"), F.lit(None).cast("long").alias("user_id")).write.mode("append").parquet(f"{base}/end")
+    ends = spark.readStream.schema("ts timestamp, user_id long").option("maxFilesPerTrigger", 1).parquet(f"{base}/end")
+    events = _files(spark, d, "events", table(spark, d, "events").schema).select("ts", "user_id")
+    SE.write_sessions(events.unionByName(ends), f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("started", "last_event")], "n_events")
+
+
+@query("q_ingest_keys", WITH_KG + "SELECT 'node' AS kind, name AS key FROM nodes UNION ALL SELECT DISTINCT 'text', text_id FROM texts")
+def ingest_keys(spark, d):
+    """Nodes and passages that the keyed ingest writes for a stream of all documents."""
+    base = scratch_path(spark, "ingest")
+    docs = _files(spark, d, "documents", table(spark, d, "documents").schema).select(F.col("doc_id").cast("string").alias("id"), "text")
+    SI.ingest(docs, f"{base}/out", f"{base}/state").awaitTermination()
+    read = lambda t, c: spark.read.parquet(f"{base}/out/{t}").select(F.lit(t.split("_")[0].rstrip("s")).alias("kind"), F.col(c).alias("key"))
+    return read("nodes", "name").unionByName(read("text_nodes", "text_id"))
+
+
 @query("q_event_chains", "SELECT min(event_id) AS component, count(*) AS n_nodes FROM events GROUP BY user_id")
 def event_chains(spark, d):
     """Components of the graph that links each event with the user's next one: one chain per user."""
