@@ -37,6 +37,12 @@ RAW = frozenset("script style noscript template textarea svg iframe object selec
 TEXT = frozenset("script style textarea title".split())
 ENDS_P = frozenset(("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main "
                     "menu nav ol p pre section table ul").split())
+# fixed values: open elements that a start tag ends without their own end tags
+_CELLS = frozenset({"td", "th"})
+_ROWS = _CELLS | {"tr"}
+_PARTS = _ROWS | {"tbody", "thead", "tfoot"}
+_TERMS, _CHOICES = frozenset({"dt", "dd"}), frozenset({"option"})
+ENDS = {"td": _CELLS, "th": _CELLS, "tr": _ROWS, "tbody": _PARTS, "thead": _PARTS, "tfoot": _PARTS, "dt": _TERMS, "dd": _TERMS, "option": _CHOICES, "optgroup": _CHOICES}
 # fixed values: words in tags, classes and ids that mark main text and what surrounds it
 MAIN = "article main content post entry story body".split()
 AROUND = ("nav menu header footer aside sidebar notice cookie banner ad ads advert promo form comments comment related share breadcrumb "
@@ -114,6 +120,11 @@ def blocks(page: str) -> list[Block]:
                     del stack[at:]
             if tag == "li" and stack and stack[-1][0] == "li":
                 stack.pop()
+            while tag in ENDS:
+                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in INLINE), None)
+                if at is None or stack[at][0] not in ENDS[tag]:
+                    break
+                del stack[at:]
             if tag not in VOID:
                 names = " ".join((a or b or c).lower() for _, a, b, c in _NAMES.findall(m[3]))
                 stack.append((tag, f"{tag} {names}".rstrip()))
@@ -312,7 +323,11 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     empty table gives an empty table.
     """
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"))
-    few = [r.html for r in rows.where(F.length("html") <= SAMPLE_CHARS).orderBy(F.xxhash64("page_id"), "page_id").limit(sample).select("html").collect()]
+    # chosen by hashes alone, so that tasks send the driver the pages of the sample and no others
+    hashed = rows.where(F.length("html") <= SAMPLE_CHARS).select("page_id", F.xxhash64("page_id").alias("h"), F.xxhash64("html").alias("g"), "html")
+    chosen = hashed.select("h", "page_id", "g").distinct().orderBy("h", "page_id", "g").limit(sample).collect()
+    ids = pages.sparkSession.createDataFrame([(r.h, r.g) for r in chosen], "h long, g long")
+    few = [r.html for r in hashed.join(F.broadcast(ids), ["h", "g"], "left_semi").dropDuplicates(["h", "page_id", "g"]).orderBy("h", "page_id", "g").select("html").collect()]
     model = train(few)
 
     def run(batches):

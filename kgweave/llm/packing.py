@@ -28,7 +28,7 @@ class Encoder:
     """The ids that the `tokenizers` library gives for a byte-level BPE file without special tokens added.
 
     The vocabulary is read from that file and run by tiktoken, which gives the same ids in a quarter of the
-    time; texts with the special token's own string go through `tokenizers` itself."""
+    time; texts with the special token's own string, and those that tiktoken refuses, go through `tokenizers` itself."""
 
     def __init__(self, path: str):
         import json
@@ -46,13 +46,16 @@ class Encoder:
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if SPECIAL in text:
-            if self.slow is None:
-                from tokenizers import Tokenizer
-
-                self.slow = Tokenizer.from_file(self.path)
-            return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
-        return self.fast.encode_to_numpy(text, disallowed_special=())
+        if SPECIAL not in text:
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=())
+            except ValueError:  # its regular expression gives up on very long runs of white space
+                pass
+        if self.slow is None:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.path)
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def default_tokenizer() -> str:

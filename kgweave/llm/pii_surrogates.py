@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import save
 
 # fixed values: formats of the entity types, in order of precedence
-EMAIL = r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+\-]*+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
+# (no group is repeated without bound: the engine would recurse once per repetition and overflow its stack; a local
+# part has 64 characters at most, so that a long run of its characters is not read again from each of them)
+EMAIL = r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}+@[A-Za-z0-9\-][A-Za-z0-9.\-]*(?<!\.)\.[A-Za-z]{2,}"
 TOKEN = r"(?<![0-9A-Za-z])[0-9a-f]{40}(?![0-9A-Za-z])"
 KEY = r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
 CARD = r"(?<![\d.\-])(?:\d{16}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4})(?![\d\-])"

@@ -156,7 +156,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id",
 
     Words are runs of anything but ASCII white space, unchanged; kept words are joined by one space. Null,
     empty and blank texts have no words and keep the empty text. A window that repeats only inside one
-    document stays. doc_id is taken to be unique and not null: rows with a null doc_id keep all their words.
+    document stays. Rows that share a doc_id are one document for this rule and are returned row by row; rows with
+    a null doc_id keep all their words. Where rows of one doc_id differ in text, what is removed from one of them (a
+    position, or all words of a copy) is removed from all.
     Other columns are ignored; an empty table gives an empty table.
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
@@ -172,7 +174,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id",
     seen = counted.where("part IS NULL")
     # written first, so that the join below has exchanges of its own whose hot keys can be split
     same = save(seen.groupBy("n", "seq_a", "seq_b").agg(F.min("doc_id").alias("lead"), F.count("*").alias("c")).where("c > 1"), "same")
-    copies = save(seen.join(same, ["n", "seq_a", "seq_b"]).where("doc_id > lead").select("doc_id", F.lit(True).alias("copy")), "copies")
+    copies = save(seen.join(same, ["n", "seq_a", "seq_b"]).where("doc_id > lead").select("doc_id", F.lit(True).alias("copy")).distinct(), "copies")
     found = repeated_windows(known.join(copies, "doc_id", "left_anti"), shared, width, window, gram)
     multi = save(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo"), "repeated")
     hits = save(found.join(multi, ["h1", "h2"]).where("doc_id > lo").select("doc_id", "pos"), "hits")
