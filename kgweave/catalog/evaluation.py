@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import arrays as A, text as T
+from ..functions import arrays as A, templates, text as T
 from ..operators import contamination as D, metrics as M, quality as Q, shaping as S
 from ..session import dense_index
 from .base import documents, query, sq, table, words
@@ -306,6 +306,53 @@ def few_shot(spark, d):
     return M.few_shot(docs, docs, "doc_id", 3)
 
 
+@query("q_bootstrap_metrics", """
+WITH d AS MATERIALIZED (SELECT doc_id, (lang = 'en') AS g, (n_chars % 2 = 0) AS p, -ln(1 + length(text)) AS ll, strlen(text)::DOUBLE AS b FROM documents),
+h AS (SELECT doc_id, k, md5('42:' || doc_id || ':' || k) AS h FROM (SELECT doc_id, unnest(range(63)) AS k FROM d)),
+y AS (SELECT doc_id, k * 16 + j AS iteration, ('0x' || substring(h, 2 * j + 1, 2))::INT AS v FROM (SELECT doc_id, k, h, unnest(range(16)) AS j FROM h)),
+w AS (SELECT doc_id, iteration, CASE WHEN v < 94 THEN 0 WHEN v < 188 THEN 1 WHEN v < 235 THEN 2 WHEN v < 251 THEN 3 WHEN v < 255 THEN 4 ELSE 5 END AS m FROM y WHERE iteration < 1000),
+s AS (SELECT iteration, sum(m * (g AND p)::INT)::DOUBLE AS tp, sum(m * (p AND NOT g)::INT)::DOUBLE AS fp, sum(m * (g AND NOT p)::INT)::DOUBLE AS fn,
+  sum(m * (NOT g AND NOT p)::INT)::DOUBLE AS tn, sum(m * ll) AS ll, sum(m * b) AS b FROM w JOIN d USING (doc_id) GROUP BY iteration),
+x AS (SELECT 'f1' AS metric, 2 * tp / (2 * tp + fp + fn) AS v FROM s UNION ALL SELECT 'mcc', (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) FROM s
+  UNION ALL SELECT 'byte_perplexity', exp(-ll / b) FROM s)
+SELECT metric, round(avg(v), 8) AS mean, round(stddev_samp(v), 8) AS stderr FROM x GROUP BY metric""")
+def bootstrap_metrics(spark, d):
+    """Standard errors of f1, mcc and byte perplexity over all documents, from 1,000 resamples of their sums."""
+    g, p = F.col("lang") == "en", F.col("n_chars") % 2 == 0
+    r = documents(spark, d).select("doc_id", *[c.cast("int").alias(n) for n, c in (("tp", g & p), ("fp", ~g & p), ("fn", g & ~p), ("tn", ~g & ~p))],
+                                   (-F.log(F.length("text") + F.lit(1))).alias("ll"), T.utf8_bytes("text").cast("double").alias("b"))
+    sums = M.resampled(r, "doc_id", ["tp", "fp", "fn", "tn", "ll", "b"])
+    out = M.resampled_stderr(sums, {**M.confusion_metrics(), "byte_perplexity": F.exp(-F.col("ll") / F.col("b"))})
+    return out.select("metric", F.round("mean", 8).alias("mean"), F.round("stderr", 8).alias("stderr"))
+
+
+# two tasks' prompts as templates
+SUMMARY_TASK = """{% if lang == 'en' %}Read the text{% elif lang == 'de' %}Lies den Text{% else %}Text ({{ lang|upper }}){% endif %} {{ doc_id }}{% if n_chars > 500 and source != 'web' %} (long){% endif %}:
+{{ text|trim }}
+{%- if not lang in ['en'] %}
+Language: {{ lang|capitalize }}
+{%- endif %}
+Answer:
+"""
+WORDS_TASK = """Item {{ item.id }}, {{ words|length }} words:
+{% for w in words %}{{ loop.index }}/{{ w|lower }}{% if not loop.last %}, {% endif %}{% endfor %}
+First: {{ words[0]|default('none') }}"""
+
+
+@query("q_template_prompts", f"""
+SELECT 'summary' AS task, doc_id AS id, sha256(CASE lang WHEN 'en' THEN 'Read the text' WHEN 'de' THEN 'Lies den Text' ELSE 'Text (' || coalesce(upper(lang), 'None') || ')' END || ' ' || doc_id
+  || CASE WHEN n_chars > 500 AND source IS DISTINCT FROM 'web' THEN ' (long)' ELSE '' END || E':\n' || regexp_replace(text, '^{T.PY_WS}+|{T.PY_WS}+$', '', 'g')
+  || CASE WHEN coalesce(lang = 'en', false) THEN '' ELSE E'\nLanguage: ' || upper(lang[1]) || lower(lang[2:]) END || E'\nAnswer:') AS prompt_sha FROM documents
+UNION ALL
+SELECT 'words', item_id, sha256('Item ' || item_id || ', ' || len(w) || E' words:\n' || array_to_string(list_transform(w, lambda x, i: i || '/' || lower(x)), ', ') || E'\nFirst: ' || coalesce(w[1], 'none'))
+FROM (SELECT item_id, {words('text')} AS w FROM benchmark)""")
+def template_prompts(spark, d):
+    a = table(spark, d, "documents").select(F.lit("summary").alias("task"), F.col("doc_id").alias("id"), templates.parse(SUMMARY_TASK).column().alias("prompt"))
+    b = table(spark, d, "benchmark").select(F.struct(F.col("item_id").alias("id")).alias("item"), T.tokens("text").alias("words"))
+    b = templates.parse(WORDS_TASK).render(b, "prompt").select(F.lit("words").alias("task"), F.col("item.id").alias("id"), "prompt")
+    return a.unionByName(b).select("task", "id", F.sha2("prompt", 256).alias("prompt_sha"))
+
+
 def tokens_13a_sql(text: str) -> str:
     out = f"rtrim({text})"
     for old, new in M.TOKENS_13A[:7]:

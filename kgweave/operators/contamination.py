@@ -16,15 +16,26 @@ def document_ngrams(docs: DataFrame, key: list[str], text: str = "text", n: int
     return docs.select(*key, F.explode(F.array_distinct(word_ngrams(ngram_normalize(text), n))).alias("ngram"))
 
 
+def hashed_ngrams(docs: DataFrame, key: list[str], text: str = "text", n: int = N) -> DataFrame:
+    """`document_ngrams` as 128-bit hashes (h1, h2): what is shuffled and joined in place of the texts."""
+    return document_ngrams(docs, key, text, n).select(*key, *_hashes(n))
+
+
+def _hashes(n: int) -> list:
+    return [F.xxhash64("ngram").alias("h1"), F.xxhash64(F.lit(n), "ngram").alias("h2")]
+
+
 def common_ngrams(docs: DataFrame, key: str, text: str = "text", n: int = N, more_than: int = COMMON) -> DataFrame:
     """N-grams found in more than ``more_than`` documents, with the number of documents.
 
-    Each document already offers an n-gram once, so a plain count (combined on the map side) is
-    the number of distinct documents when ``key`` is unique. Only a 128-bit hash of each n-gram is
-    shuffled; the texts of the common ones are looked up afterwards.
+    Each document already offers an n-gram once, so a plain count (combined on the map side) is the number of
+    distinct documents; ``key`` is unique and not null. Only hashes are shuffled. The count names one document of
+    each common n-gram, and its text is looked up in those few documents alone.
     """
-    grams = document_ngrams(docs, [key], text, n).select("ngram", F.xxhash64("ngram").alias("h1"), F.xxhash64(F.lit(n), "ngram").alias("h2"))
-    counts = cut_lineage(grams.groupBy("h1", "h2").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > more_than))
+    counts = cut_lineage(hashed_ngrams(docs, [key], text, n).groupBy("h1", "h2").agg(
+        F.count("*").alias("n_docs"), F.min(key).alias("_doc")).filter(F.col("n_docs") > more_than))
+    few = docs.join(counts.select(F.col("_doc").alias(key)).distinct(), key, "left_semi")
+    grams = document_ngrams(few, [key], text, n).select("ngram", *_hashes(n))
     return grams.join(counts, ["h1", "h2"]).groupBy("h1", "h2").agg(
         F.min("ngram").alias("ngram"), F.first("n_docs").alias("n_docs")).select("ngram", "n_docs")
 
@@ -33,17 +44,17 @@ def overlaps(train: DataFrame, train_key: str, evals: DataFrame, eval_key: str,
     """(train_key, eval_key) pairs sharing at least one n-gram.
 
     Training n-grams are cut down to the evaluation vocabulary by a semi join first, so the only
-    rows that meet in the pair join are real matches.
+    rows that meet in the pair join are real matches. Hashes stand for the n-grams throughout.
     """
-    e = document_ngrams(evals, [eval_key], text, n)
-    t = document_ngrams(train, [train_key], text, n).join(e.select("ngram").distinct(), "ngram", "left_semi")
-    return t.join(e, "ngram").select(train_key, eval_key).distinct()
+    e = hashed_ngrams(evals, [eval_key], text, n)
+    t = hashed_ngrams(train, [train_key], text, n).join(e.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
+    return t.join(e, ["h1", "h2"]).select(train_key, eval_key).distinct()
 
 
 def contaminated(train: DataFrame, train_key: str, evals: DataFrame, eval_keys: list[str], text: str = "text", n: int = N) -> DataFrame:
     """Evaluation items that share an n-gram with any training document."""
-    t = document_ngrams(train, [train_key], text, n).select("ngram")
-    return document_ngrams(evals, eval_keys, text, n).join(t, "ngram", "left_semi").select(*eval_keys).distinct()
+    t = hashed_ngrams(train, [train_key], text, n).select("h1", "h2")
+    return hashed_ngrams(evals, eval_keys, text, n).join(t, ["h1", "h2"], "left_semi").select(*eval_keys).distinct()
 
 
 def clean_chunks(docs: DataFrame, key: str, dirt: DataFrame, text: str = "text", n: int = N, window: int = WINDOW,

@@ -33,13 +33,12 @@ def triple_graph(flat: Flattened) -> Graph:
 def edge_concepts(edges: DataFrame, concepts: str = "concepts") -> DataFrame:
     """Concepts of all parallel edges of a pair, in first-seen order, comma-joined.
 
-    Concepts are reduced to one row each before they are gathered, so what is gathered per pair is
-    its distinct concepts, however many parallel edges it has.
+    Parallel edges with the same list, as those of one relation, are one row before anything is gathered;
+    the distinct lists of a pair are then read in order. No list is taken apart into rows.
     """
-    seen = edges.select("src", "dst", "ord", F.posexplode(concepts).alias("_p", "concept")).groupBy(
-        "src", "dst", "concept").agg(F.min(F.struct("ord", "_p")).alias("_o"))
-    return seen.groupBy("src", "dst").agg(F.array_sort(F.collect_list(F.struct("_o", "concept"))).alias("_c")).select(
-        "src", "dst", F.array_join(F.col("_c.concept"), ",").alias("concepts"))
+    lists = edges.where(F.size(concepts) > 0).groupBy("src", "dst", F.col(concepts).alias("_l")).agg(F.min("ord").alias("ord"))
+    return lists.groupBy("src", "dst").agg(F.array_sort(F.collect_list(F.struct("ord", "_l"))).alias("_c")).select(
+        "src", "dst", F.array_join(F.array_distinct(F.flatten(F.col("_c._l"))), ",").alias("concepts"))
 
 
 def full_graph(flat: Flattened, concept_nodes: DataFrame | None = None, concept_edges: DataFrame | None = None,

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -202,6 +203,53 @@ def bootstrap_stderr(df: DataFrame, key: str, value: str, iterations: int = 1000
     return bootstrap(df, key, value, iterations, seed).agg(F.stddev_samp("statistic").alias("stderr"))
 
 
+# Poisson(1) multiplicities for the 256 values of a byte: the cumulated probabilities to the nearest 1/256
+POISSON_BYTES = [(94, 0), (188, 1), (235, 2), (251, 3), (255, 4), (256, 5)]
+
+
+def resampled(df: DataFrame, key: str, stats: list[str], iterations: int = 1000, seed: int = 42) -> DataFrame:
+    """(iteration, stats): sums of additive statistics over ``iterations`` resamples of the rows.
+
+    Any metric that is a function of sums (confusion counts, likelihoods and lengths, matches per n-gram order)
+    is resampled by its sums. Every byte of md5("seed:key:block") is a row's Poisson(1) multiplicity in one
+    iteration, so the draws are the same for any partitioning and in SQL. A task multiplies the multiplicities of
+    its rows with their statistics and sends iterations x statistics numbers, however many rows it has; no row is
+    moved. ``key`` should be unique (rows that share one share their draws); nulls count as 0.
+    """
+    import hashlib
+
+    table = np.repeat([m for _, m in POISSON_BYTES], np.diff([0, *(c for c, _ in POISSON_BYTES)])).astype(np.float64)
+    blocks = -(-iterations // 16)
+    step = max(1, 4_000_000 // max(1, iterations))
+
+    def run(frames):
+        total = np.zeros((iterations, len(stats)))
+        for f in frames:
+            keys, values = f["_key"].tolist(), f[stats].to_numpy(np.float64)
+            for a in range(0, len(keys), step):
+                drawn = b"".join(hashlib.md5(f"{seed}:{k}:{b}".encode()).digest() for k in keys[a:a + step] for b in range(blocks))
+                times = table[np.frombuffer(drawn, np.uint8).reshape(-1, 16 * blocks)[:, :iterations]]
+                total += times.T @ values[a:a + step]
+        yield pd.DataFrame({"iteration": np.arange(iterations), **{c: total[:, i] for i, c in enumerate(stats)}})
+
+    rows = df.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in stats])
+    return rows.mapInPandas(run, "iteration int, " + ", ".join(f"{c} double" for c in stats)).groupBy("iteration").agg(*[F.sum(c).alias(c) for c in stats])
+
+
+def confusion_metrics(tp: str = "tp", fp: str = "fp", fn: str = "fn", tn: str = "tn") -> dict[str, Column]:
+    """f1 and mcc from confusion sums; without any positive, or with a constant side, 0."""
+    a, b, c, d = (F.col(x) for x in (tp, fp, fn, tn))
+    f1 = F.when(2 * a + b + c == 0, 0.0).otherwise(2 * a / (2 * a + b + c))
+    under = (a + b) * (a + c) * (d + b) * (d + c)
+    return {"f1": f1, "mcc": F.when(under == 0, 0.0).otherwise((a * d - b * c) / F.sqrt(under))}
+
+
+def resampled_stderr(sums: DataFrame, metrics: dict[str, Column]) -> DataFrame:
+    """(metric, mean, stderr) of metrics of the sums over all resamples."""
+    each = sums.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), c.cast("double").alias("value")) for m, c in metrics.items()])).alias("x")).select("x.*")
+    return each.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("stderr"))
+
+
 def bootstrap_iterations(metric_name: str, iterations: int = BOOTSTRAP_ITERATIONS) -> int:
     return min(iterations, SLOW_METRIC_ITERATIONS) if metric_name in SLOW_METRICS else iterations
 

@@ -49,6 +49,16 @@ class Task:
     options: dict = field(default_factory=dict)
 
 
+def result_rows(answered: DataFrame, task: str, key: str, metrics: dict[str, Column]) -> DataFrame:
+    """(task, doc_id, metric, value) from a task's own result hook: a column per metric over an answered row.
+
+    A hook may name any metrics; a null value is a metric that the row does not have. The rows go on to
+    `aggregate` like those of the built-in metrics.
+    """
+    values = F.array(*[F.struct(F.lit(m).alias("metric"), c.cast("double").alias("value")) for m, c in metrics.items()])
+    return answered.select(F.lit(task).alias("task"), F.col(key).alias("doc_id"), F.explode(values).alias("x")).select("task", "doc_id", "x.*").where("value IS NOT NULL")
+
+
 def requests(docs: DataFrame, task: Task, key: str) -> DataFrame:
     """Request rows (task, doc_id, idx, prompt, continuation, gold): one per choice or repeat."""
     base = docs.select(F.lit(task.name).alias("task"), F.col(key).alias("doc_id"), task.prompt().alias("prompt"), task.gold().alias("gold"),
