@@ -69,6 +69,40 @@ def generate(df: DataFrame, prompt: str, out: str, make_generator, attempts: int
     return df.withColumn(out, run(F.col(prompt)))
 
 
+USAGE = "response string, prompt_tokens long, completion_tokens long, total_tokens long, time double"
+
+
+def generate_with_usage(df: DataFrame, prompt: str, out: str, make_generator, attempts: int = RETRY_ATTEMPTS,
+                        wait: float = RETRY_WAIT_SECONDS) -> DataFrame:
+    """Append a struct ``out`` (`USAGE`): the answer, its token counts and the seconds of the call.
+
+    A generator with ``complete_with_usage(prompts)`` answers (text, prompt tokens, completion tokens) per prompt;
+    one without has its counts null. A call's seconds, retries and pauses included, are shared out evenly over
+    the prompts of its batch, so that they add up over any rows. A call that keeps failing answers ``[]`` with no tokens.
+    """
+    @F.pandas_udf(USAGE)
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = make_generator()
+        for s in parts:
+            began = time.perf_counter()
+            if hasattr(model, "complete_with_usage"):
+                got = _with_retry(lambda: list(model.complete_with_usage(s.tolist())), attempts, wait)
+            else:
+                got = _with_retry(lambda: [(a, None, None) for a in model.complete(s.tolist())], attempts, wait)
+            rows = got if got is not None else [(FAILED_ANSWER, 0, 0)] * len(s)
+            said = pd.DataFrame(rows, columns=["response", "prompt_tokens", "completion_tokens"]).astype({"prompt_tokens": "Int64", "completion_tokens": "Int64"})
+            said["total_tokens"] = said["prompt_tokens"] + said["completion_tokens"]
+            said["time"] = (time.perf_counter() - began) / max(1, len(s))
+            yield said
+    return df.withColumn(out, run(F.col(prompt)))
+
+
+def usage_totals(df: DataFrame, usage: str, *keys: str) -> DataFrame:
+    """(keys, calls, prompt_tokens, completion_tokens, total_tokens, time) of answered rows."""
+    return df.groupBy(*keys).agg(F.count("*").alias("calls"), *[F.sum(f"{usage}.{c}").alias(c) for c in (
+        "prompt_tokens", "completion_tokens", "total_tokens", "time")])
+
+
 def generate_cached(df: DataFrame, prompt: str, out: str, make_generator, cache: DataFrame | None,
                     params: str = "") -> tuple[DataFrame, DataFrame]:
     """Answers through a response cache keyed by a hash of prompt and parameters.

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.arrays import dot
 from ..functions.text import phrase, squeeze, triple_text
-from ..operators import graph as G, paths as P, ranking as R, vectors as V
+from .. import models
+from ..operators import graph as G, outputs as O, paths as P, ranking as R, vectors as V
 from ..operators.concept_graph import contained_names
 from ..operators.quality import fuzzy_keywords
 from ..session import cut_lineage, dense_index
@@ -96,6 +97,47 @@ def cap_seeds(seeds: DataFrame, limit: int, score: str | None = None) -> DataFra
     return seeds.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= limit).drop("_r")
 
 
+# ---- model filters ----------------------------------------------------------------------------------
+
+def model_fact_filter(questions: DataFrame, make_generator) -> Callable[[DataFrame], DataFrame]:
+    """A ``keep_facts`` for `edge_seeds`: the model names the facts (query_id, head, relation, tail) to keep.
+
+    One prompt per question, over its few retrieved facts. A call that fails, or an answer that cannot be read,
+    passes the question's facts through unchanged; an answer with an empty list keeps none.
+    """
+    def keep(facts: DataFrame) -> DataFrame:
+        facts = cut_lineage(facts.select("query_id", "head", "relation", "tail").distinct())
+        return _filtered(questions, facts, F.array("head", "relation", "tail"), FACT_PROMPT, "fact", make_generator,
+                         lambda rows: O.first_triplets(rows, "_a", "_k"), lambda k: (k[0].alias("head"), k[1].alias("relation"), k[2].alias("tail")), facts)
+    return keep
+
+
+def model_name_filter(questions: DataFrame, make_generator) -> Callable[[DataFrame], DataFrame]:
+    """A ``keep_names`` for `large_graph_passages`: the model names the keywords (query_id, name) to keep, and
+    failures pass all through, as in `model_fact_filter`."""
+    def keep(names: DataFrame) -> DataFrame:
+        names = cut_lineage(names.select("query_id", "name").distinct())
+        return _filtered(questions, names, F.col("name"), NAME_PROMPT, "keywords", make_generator,
+                         lambda rows: O.keywords(rows, "_a", "_k"), lambda k: (k.alias("name"),), names)
+    return keep
+
+
+FACT_PROMPT = "Question: {q}\nFacts: {x}\nAnswer with a JSON object whose list \"fact\" holds the facts that help, each as three texts."
+NAME_PROMPT = "Question: {q}\nKeywords: {x}\nAnswer with a JSON object whose list \"keywords\" holds the keywords that help."
+
+
+def _filtered(questions, rows, item: Column, prompt: str, field: str, make_generator, read, columns, every: DataFrame) -> DataFrame:
+    """Rows that the model keeps of each question's few rows, all where its answer cannot be used."""
+    head, middle, end = prompt.replace("{q}", "\0").replace("{x}", "\0").split("\0")
+    listed = rows.groupBy("query_id").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("_x")).join(questions.select("query_id", F.col("text").alias("_q")), "query_id")
+    asked = models.generate(listed.withColumn("_p", F.concat(F.lit(head), "_q", F.lit(middle), "_x", F.lit(end))), "_p", "_a", make_generator)
+    asked = cut_lineage(asked.select("query_id", "_a"))
+    usable = F.schema_of_variant(F.try_variant_get(F.try_parse_json("_a"), f"$.{field}", "variant"))
+    good = asked.where(F.startswith(usable, F.lit("ARRAY")))
+    kept = read(good).select("query_id", F.explode("_k").alias("k")).select("query_id", *columns(F.col("k")))
+    return kept.distinct().unionByName(every.join(good.select("query_id"), "query_id", "left_anti"))
+
+
 # ---- personalised-rank retrievers -------------------------------------------------------------------
 
 def entity_rank_passages(queries: DataFrame, g: G.Graph, nodes: DataFrame, node_files: DataFrame, entities: Column,
