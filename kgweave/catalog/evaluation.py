@@ -251,6 +251,17 @@ def max_over_golds(spark, d):
     return c.groupBy("conv_id").agg(F.max(M.exact_match(F.lit("T"), F.substring("text", 1, 1))).alias("best"))
 
 
+@query("q_best_of_golds", "WITH" + PAIRS + """
+a AS (SELECT conv_id, turn, lower(left(pred, 1)) AS p, [lower(left(gold, 1)), lower(right(gold, 1)), chr((97 + conv_id % 26)::INT)] AS golds FROM pairs)
+SELECT conv_id, turn, list_max(list_transform(golds, lambda g: CAST(g = p AS DOUBLE))) AS best FROM a""")
+def best_of_golds(spark, d):
+    """Exact match of an answer's first letter against the best of three accepted ones."""
+    p = pairs(spark, d)
+    golds = F.array(F.lower(F.substring("gold", 1, 1)), F.lower(F.right("gold", F.lit(1))), F.chr((97 + F.col("conv_id") % 26).cast("long")))
+    a = p.select("conv_id", "turn", F.lower(F.substring("pred", 1, 1)).alias("p"), golds.alias("golds"))
+    return a.select("conv_id", "turn", M.max_over_golds("p", "golds", M.exact_match).cast("double").alias("best"))
+
+
 TASKS = """
 res AS (SELECT CAST(s_nationkey AS VARCHAR) AS task, 'acc' AS metric, avg(s_acctbal) AS value, stddev_samp(s_acctbal) / sqrt(count(*)) AS stderr, count(*) AS size FROM supplier GROUP BY s_nationkey)
 """
@@ -419,6 +430,13 @@ def common_ngrams(spark, d):
     return D.common_ngrams(documents(spark, d), "doc_id")
 
 
+@query("q_repeated_ngrams", "WITH" + grams_sql("g", "documents", "doc_id", 13) + """
+o AS (SELECT ngram, count(*) AS n_docs FROM g GROUP BY ngram HAVING count(*) > 1) SELECT * FROM o""")
+def repeated_ngrams(spark, d):
+    """13-grams in more than one document, whatever the size of the corpus."""
+    return D.common_ngrams(documents(spark, d), "doc_id", more_than=1)
+
+
 @query("q_common_short_ngrams", "WITH" + grams_sql("g", "documents", "doc_id", 3) + """
 o AS (SELECT ngram, count(*) AS n_docs FROM g GROUP BY ngram HAVING count(*) > 10) SELECT * FROM o""")
 def common_short_ngrams(spark, d):

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W, functions as F
 from .. import models
 from ..functions import arrays as A
 from ..functions.text import sha_id, triple_text
+from ..operators.concept_graph import contained_names
 from ..operators import extraction as X, graph as G, ranking as R, vectors as V
 from ..plans import retrieve as Q
 from ..session import cut_lineage, dense_index
@@ -263,6 +264,17 @@ def first_words_match(spark, d):
     return Q.first_words_match(q, n).groupBy("query_id").agg(F.count("*").alias("n_nodes"))
 
 
+@query("q_name_containment", WITH_KG + """
+, t AS (SELECT DISTINCT lower(name) AS text FROM nodes WHERE type = 'event'), p AS (SELECT DISTINCT lower(name) AS part FROM nodes WHERE type = 'entity')
+SELECT part, count(*) AS n_texts FROM t JOIN p ON contains(text, part) GROUP BY part""")
+def name_containment(spark, d):
+    """Events whose name contains an entity's name: all pairs, counted per entity."""
+    n = cut_lineage(X.first_mentions(kg(spark, d).triples).select("type", F.lower("name").alias("name")).distinct())
+    of = lambda kind, to: n.where(F.col("type") == kind).select(F.col("name").alias("key"), F.col("name").alias(to)).distinct()
+    hit = contained_names(of("event", "text"), of("entity", "part"))
+    return hit.groupBy(F.col("part_key").alias("part")).agg(F.count("*").alias("n_texts"))
+
+
 @query("q_keyword_concepts", """
 WITH c AS (SELECT p_partkey AS pos, p_name AS name, p_type AS type, lower(p_brand || ' ' || p_type) AS description FROM part),
 q AS (SELECT DISTINCT p_name AS query_id, upper(substring(string_split(p_name, ' ')[1], 1, 1)) || substring(string_split(p_name, ' ')[1], 2) AS e1,
