@@ -306,9 +306,16 @@ def run_comparison(spark, d):
     return M.compare_runs(x, y, ["task"]).join(z, "task")
 
 
-@query("q_bootstrap_stderr")
+@query("q_bootstrap_stderr", """
+WITH h AS (SELECT event_id, value, k, md5('42:' || event_id || ':' || k) AS h FROM (SELECT event_id, value, unnest(range(63)) AS k FROM events)),
+y AS (SELECT value, k * 16 + j AS iteration, ('0x' || substring(h, 2 * j + 1, 2))::INT AS v FROM (SELECT value, k, h, unnest(range(16)) AS j FROM h)),
+w AS (SELECT value, iteration, CASE WHEN v < 94 THEN 0 WHEN v < 188 THEN 1 WHEN v < 235 THEN 2 WHEN v < 251 THEN 3 WHEN v < 255 THEN 4 ELSE 5 END AS m FROM y WHERE iteration < 1000),
+s AS (SELECT iteration, sum(m * value) / sum(m) AS mean FROM w GROUP BY iteration)
+SELECT round(stddev_samp(mean), 8) AS stderr FROM s""")
 def bootstrap_stderr(spark, d):
-    return M.bootstrap_stderr(table(spark, d, "events").select("event_id", "value"), "event_id", "value", 200)
+    """Standard error of the mean over all events, from 1,000 resamples."""
+    sums = M.resampled(table(spark, d, "events").select("event_id", "value", F.lit(1).alias("n")), "event_id", ["value", "n"])
+    return M.resampled_stderr(sums, {"mean": F.col("value") / F.col("n")}).select(F.round("stderr", 8).alias("stderr"))
 
 
 @query("q_few_shot")

@@ -341,18 +341,16 @@ def two_hop_counts(spark, d):
 lab AS (SELECT src, dst, CASE substring(src, 1, 1) WHEN 'c' THEN 'placed' WHEN 'o' THEN 'contains' WHEN 'p' THEN 'supplied by' WHEN 's' THEN 'located in' ELSE 'part of' END AS relation FROM e),
 u AS (SELECT src AS id, dst AS other, relation FROM lab UNION ALL SELECT dst, src, relation FROM lab),
 p0 AS (SELECT r_name AS query_id, ['r' || r_regionkey] AS path, ['r' || r_regionkey] AS nodes, 'r' || r_regionkey AS tail FROM region),
-x1 AS (SELECT query_id, list_concat(path, [relation, other]) AS path, list_concat(nodes, [other]) AS nodes, other AS tail FROM p0 JOIN u ON u.id = tail WHERE NOT list_contains(nodes, other)),
-p1 AS (SELECT * FROM x1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY length(tail) DESC, path DESC) <= 5),
-x2 AS (SELECT query_id, list_concat(path, [relation, other]) AS path, list_concat(nodes, [other]) AS nodes, other AS tail FROM p1 JOIN u ON u.id = tail WHERE NOT list_contains(nodes, other)),
-p2 AS (SELECT * FROM x2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY length(tail) DESC, path DESC) <= 5),
-x3 AS (SELECT query_id, list_concat(path, [relation, other]) AS path, list_concat(nodes, [other]) AS nodes, other AS tail FROM p2 JOIN u ON u.id = tail WHERE NOT list_contains(nodes, other)),
-p3 AS (SELECT * FROM x3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY length(tail) DESC, path DESC) <= 5)
-SELECT query_id, array_to_string(path, ' --->') AS path FROM p3""")
+""" + ",".join(f"""
+x{k} AS (SELECT query_id, list_concat(path, [relation, other]) AS path, list_concat(nodes, [other]) AS nodes, other AS tail FROM p{k - 1} JOIN u ON u.id = tail WHERE NOT list_contains(nodes, other)),
+p{k} AS (SELECT * FROM (SELECT * FROM x{k} UNION ALL SELECT * FROM p{k - 1} p WHERE NOT EXISTS (SELECT 1 FROM x{k} x WHERE x.query_id = p.query_id AND x.nodes[1:len(p.nodes)] = p.nodes AND x.path[1:len(p.path)] = p.path))
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY length(tail) DESC, path DESC) <= 5)""" for k in range(1, 6)) + """
+SELECT query_id, array_to_string(path, ' --->') AS path FROM p5""")
 def beam_paths(spark, d):
     from ..functions.text import path_text
-    e = trade_edges(spark, d)
+    e = cut_lineage(trade_edges(spark, d))  # five tables joined once, not once per round
     seeds = table(spark, d, "region").select(F.col("r_name").alias("query_id"), F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"))
-    p = P.search(seeds, e, lambda: F.length("tail"), depth=2, keep=5)
+    p = P.search(seeds, e, lambda: F.length("tail"))
     return p.select("query_id", path_text("path").alias("path"))
 
 

@@ -92,7 +92,7 @@ def vector_text_form(spark, d):
 @query("q_cell_search")
 def cell_search(spark, d):
     v = vectors(spark, d)
-    return V.cell_search(centroids(spark, d), v, V.train_cells(v, 8, rounds=5), 10, probes=4)
+    return V.cell_search(centroids(spark, d), v, V.train_cells(v, 16), 10, probes=8)
 
 
 @query("q_code_search", f"""
