@@ -66,7 +66,7 @@ def exact_match(spark, d):
 
 RECALL_SQL = """
 WITH r AS (SELECT conv_id, list(text ORDER BY turn) FILTER (role = 'assistant') AS retrieved,
-                  list(string_split(text, '.')[1] ORDER BY turn) AS gold FROM conversations GROUP BY conv_id)
+                  flatten(list(list_filter(list_transform(string_split(text, '.'), lambda x: trim(x)), lambda x: x <> ''))) AS gold FROM conversations GROUP BY conv_id)
 """
 
 
@@ -76,7 +76,7 @@ SELECT conv_id, list_count(list_filter(gold, lambda g: len(list_filter(retrieved
 def recall_at_k(spark, d):
     from pyspark.sql import Window as W
     c = table(spark, d, "conversations")
-    gold = c.select("conv_id", F.substring_index("text", ".", 1).alias("gold"))
+    gold = c.select("conv_id", F.explode(F.filter(F.transform(F.split("text", r"\."), lambda x: F.trim(x)), lambda x: x != "")).alias("gold"))
     rank = F.row_number().over(W.partitionBy("conv_id").orderBy("turn"))
     found = c.filter("role = 'assistant'").withColumn("rank", rank).filter("rank <= 5").select("conv_id", "rank", "text")
     return Q.recall_long(gold, found, "conv_id")
