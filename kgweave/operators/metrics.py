@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.arrays import argmax
+from ..functions.arrays import argmax, let
 from ..functions.registry import aggregation, metric, response_filter
 from ..functions.text import _col, exact_match_form, regex_pick, first_char_choice
 from ..session import cut_lineage, dense_index
@@ -498,14 +498,15 @@ def shift_edits(hyp: list[str], ref: list[str], max_size: int = 10, max_distance
 def corpus_chrf(df: DataFrame, pred: str, ref: str, key: str, order: int = 6, beta: float = 2.0) -> DataFrame:
     """Corpus chrF: character n-gram F-score averaged over orders 1..6, white space removed."""
     from ..functions.text import PY_WS
-    t = df.select(key, *[F.regexp_replace(c, PY_WS, "").alias(a) for c, a in ((pred, "p"), (ref, "r"))])
+    # stored, so that the cleaning is not done again for every position inside the lambdas below
+    t = cut_lineage(df.select(key, *[F.regexp_replace(c, PY_WS, "").alias(a) for c, a in ((pred, "p"), (ref, "r"))]))
 
-    def of_order(side, n):
-        starts = F.when(F.length(side) >= n, F.sequence(F.lit(1), F.length(side) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.substring(F.col(side), i, F.lit(n)).alias("g")))
+    def of_order(chars: Column, n: int) -> Column:
+        one = lambda i: F.struct(F.lit(n).alias("n"), F.concat(*[F.get(chars, i + j) for j in range(n)]).alias("g"))
+        return F.when(F.size(chars) >= n, F.transform(F.sequence(F.lit(0), F.size(chars) - n), one)).otherwise(F.array().cast("array<struct<n:int,g:string>>"))
 
     def grams(side):
-        return F.flatten(F.array(*[of_order(side, n) for n in range(1, order + 1)]))
+        return let(F.split(side, ""), lambda c: F.flatten(F.array(*[of_order(c, n) for n in range(1, order + 1)])))
     rows = t.select(key, F.explode(grams("p")).alias("x"), F.lit(1).alias("pc"), F.lit(0).alias("rc")).unionByName(
         t.select(key, F.explode(grams("r")).alias("x"), F.lit(0).alias("pc"), F.lit(1).alias("rc")))
     c = rows.groupBy(key, "x.n", "x.g").agg(F.sum("pc").alias("pc"), F.sum("rc").alias("rc"))
