@@ -212,3 +212,19 @@ def test_build_graph_end_to_end(spark, tmp_path):
     emb = B.embed_graph(g, Enc)
     assert emb["nodes"].count() == g.vertices.filter("type <> 'passage'").count()
     assert emb["passages"].count() == 2
+
+
+def test_arrays_of_strings_are_read_at_once_and_others_value_by_value(spark):
+    from kgweave.functions.text import nothing_to_clean
+
+    texts = ['["a b"]', '["a　b"]', '["é b"]', '["a  b"]', '["a;b"]', '["a\\tb"]']
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, j string")
+    assert [r.t for r in d.orderBy("i").select(nothing_to_clean("j").alias("t")).collect()] == [True, False, True, False, False, False]
+    facts = ['[{"Head":"a ","Relation":"r","Tail":"b"}]', '[{"Head":"a","Relation":"r","Tail":7},{"Head":"c;d","Relation":"r","Tail":"e\\u0007f"}]', "[null]", "[1]", "no"]
+    events = ['[{"Event":"x y","Entity":["p"," ","q"]}]', '[{"Event":"x","Entity":["p",1,null,"q"]},{"Event":"z","Entity":"p"}]', "[]", '[{"Event":"x"}]', None]
+    r = spark.createDataFrame([("f", i, "t", facts[i], "[]", events[i]) for i in range(5)],
+                              "file_name string, line_no long, original_text string, entity_relation_dict string, event_relation_dict string, event_entity_relation_dict string")
+    t = X.all_triples(r)
+    got = sorted((x.line_no, x.kind, x.item, x.member, x.head, x.tail) for x in t.collect())
+    assert got == [(0, 0, 0, 0, "a", "b"), (0, 2, 0, 0, "x y", "p"), (0, 2, 0, 2, "x y", "q"),
+                   (1, 0, 1, 0, "c,d", "e f"), (1, 2, 0, 0, "x", "p"), (1, 2, 0, 3, "x", "q")]
