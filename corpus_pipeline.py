@@ -6,6 +6,7 @@ brute-force version in tests/llm.
 """
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kgweave.llm import exact_dedup, minhash_dedup, mixing, packing, quality_rules
@@ -38,8 +39,20 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every remaining document and its place in a sequence of 2048 tokens."""
-    return packing.pack(docs)
+    """Every piece of every remaining document and its place in a sequence of 2048 tokens, filled in the mixture's order."""
+    return packing.pack(in_stored_order(docs), place="place")
+
+
+def in_stored_order(docs: DataFrame) -> DataFrame:
+    """Documents with their ``place`` in the files they are read from, which a stage wrote in the order of its rows.
+
+    A table that is not read from files has no such order.
+    """
+    try:
+        part = F.coalesce(F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).try_cast("long"), F.lit(0))
+        return docs.select("doc_id", "text", (part * F.lit(1 << 40) + F.col("_metadata.row_index")).alias("place"))
+    except AnalysisException:
+        return docs.select("doc_id", "text", F.lit(0).cast("long").alias("place"))
 
 
 STAGES = [("quality", quality), ("exact_copies", exact_copies), ("near_copies", near_copies), ("mixture", mixture), ("packed", packed)]

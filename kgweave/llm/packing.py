@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..session import dense_index
 from .common import per_worker, save, tasks
 
 SEQUENCE = 2048
@@ -71,16 +72,16 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SEQUENCE) -> DataFrame:
         encode = per_worker(f"encoder:{tokenizer}", lambda: Encoder(tokenizer))
         for batch in batches:
             out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc, text, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 ids = np.append(encode(text.as_py() or ""), END_ID).astype("<u4")
                 cut = [0, *range(len(ids) % size or size, len(ids), size), len(ids)] if len(ids) > size else [0, len(ids)]
                 raw = memoryview(ids.tobytes())
-                out += [(doc, i, a, b - a, zlib.crc32(raw[4 * a: 4 * b])) for i, (a, b) in enumerate(zip(cut, cut[1:]))]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                out += [(doc, i, a, b - a, zlib.crc32(raw[4 * a: 4 * b]), at) for i, (a, b) in enumerate(zip(cut, cut[1:]))]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "place"]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=names)
 
-    return tasks(docs, run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return tasks(docs, run, "doc_id long, piece int, start long, length long, ids_crc32 long, place long")
 
 
 def plan(counts: dict[int, int], size: int = SEQUENCE) -> tuple[list[tuple], int]:
@@ -137,20 +138,28 @@ def ranked(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
     return salted.withColumn("_own", own).join(starts, [by, "_salt"]).withColumn("rank", F.col("_start") + F.col("_own")).drop("_salt", "_own", "_start")
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE, key: str = "doc_id", text: str = "text", place: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): every piece and its place.
 
     A null or empty text is the end id alone. Repeated rows are packed once each. Pieces of one length are
-    interchangeable; ties follow doc_id, piece and start. Other columns are ignored; an empty table gives an
+    interchangeable; ties follow doc_id, piece and start. With ``place``, a column of longs, pieces of one length take
+    their places in its order, so that documents that come early share sequences as far as lengths allow. Other columns are ignored; an empty table gives an
     empty table.
     """
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
+                       (F.lit(0) if place is None else F.coalesce(place, F.lit(0))).cast("long").alias("place"))
     cut = save(pieces(docs, tokenizer or default_tokenizer(), size), "pieces")
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most ``size`` rows
     runs, _ = plan(counts, size)
     places = docs.sparkSession.createDataFrame(runs, "length long, rank0 long, ranks long, each long, sequence0 long, offset0 long")
     places = places.withColumn("block", F.explode(F.sequence(F.floor(F.col("rank0") / BLOCK), F.floor((F.col("rank0") + F.col("ranks") - 1) / BLOCK))))
-    numbered = ranked(cut, "length", ["doc_id", "piece", "start"]).withColumn("block", F.floor(F.col("rank") / BLOCK))
+    if place is None:
+        numbered = ranked(cut, "length", ["doc_id", "piece", "start"])
+    else:
+        sorted_ = dense_index(cut, ["length", "place", "doc_id", "piece", "start"], "_pos")
+        firsts = sorted_.groupBy("length").agg(F.min("_pos").alias("_first"))  # at most ``size`` rows
+        numbered = sorted_.join(F.broadcast(firsts), "length").withColumn("rank", F.col("_pos") - F.col("_first"))
+    numbered = numbered.withColumn("block", F.floor(F.col("rank") / BLOCK))
     step = F.col("rank") - F.col("rank0")
     return (numbered.join(places, ["length", "block"]).where((F.col("rank") >= F.col("rank0")) & (step < F.col("ranks")))
             .select("doc_id", "piece", "start", "length", "ids_crc32",

@@ -67,3 +67,20 @@ def test_mixture_keeps_and_orders_documents(spark):
     assert [slots[i] for i in out] == sorted(slots.values())
     cut = mixing.mix(docs, {"hot": 1, "s0": 1}, size=10).collect()
     assert {r.doc_id for r in cut if r.kept} == {r.doc_id for r in cut if r.slot is not None and r.slot < 10} and 0 < sum(r.kept for r in cut) < len(cut)
+
+
+def test_the_order_of_the_mixture_reaches_the_sequences(spark, tmp_path):
+    rows = [(i, f"a short text {i % 7}", "en", "s", 10) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    at = {}
+    for name, order in (("up", "doc_id"), ("down", "-doc_id")):
+        docs.orderBy(*[corpus_pipeline.F.expr(order)]).write.parquet(f"{tmp_path}/{name}")
+        stored = spark.read.parquet(f"{tmp_path}/{name}")
+        assert [r.doc_id for r in corpus_pipeline.in_stored_order(stored).orderBy("place").collect()] == sorted(range(600), reverse=name == "down")
+        out = corpus_pipeline.packed(spark, stored, FOLDER).collect()
+        spans = sorted((r.sequence_id, r.offset, r.length) for r in out)
+        assert len(out) == 600 and all(b[1] == (a[1] + a[2] if a[0] == b[0] else 0) for a, b in zip(spans, spans[1:]))
+        at[name] = {r.doc_id: r.sequence_id for r in out}
+    n = max(at["up"].values())
+    assert n == max(at["down"].values()) > 0
+    assert (at["up"][0], at["up"][599]) == (0, n) and (at["down"][599], at["down"][0]) == (0, n)
