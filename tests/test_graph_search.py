@@ -335,3 +335,40 @@ def test_long_chains_are_followed_to_their_end(spark):
     s = R.walk_sample(e, spark.createDataFrame([(0,), (395,)], "id long"), area=30)
     got = {k: sorted(r.id for r in s.collect() if r.source == k) for k in (0, 395)}
     assert len(got[0]) == 30 and got[395] == [395, 396, 397, 398, 399, 400]
+
+
+def test_components_and_neighbours_of_long_names_travel_as_keys(spark):
+    from kgweave.functions.text import short_key
+
+    long = lambda i: f"{i:03d} " + "x" * 500
+    pairs = [(i, i + 1) for i in range(40) if i % 10 != 9] + [(3, 5), (3, 5), (7, 7)]
+    e = spark.createDataFrame([(long(a), long(b)) for a, b in pairs], "src string, dst string")
+    v = spark.createDataFrame([(long(i),) for i in range(42)] + [(None,)], "id string")
+    got = {r.id: r.component for r in R.connected_components(e, v).collect()}
+    assert got == {**{long(i): long(i if i >= 40 else i - i % 10) for i in range(42)}, None: None}
+    near = G.sampled_neighbours(v, e, 3)
+    rows_ = {(r.id[:3], r.other[:3], r.side) for r in near.collect()}
+    assert ("003", "005", "successor") in rows_ and ("005", "003", "predecessor") in rows_ and len(rows_) == near.count() == 2 * (36 + 2)
+    assert "WindowGroupLimit" in near._jdf.queryExecution().executedPlan().toString()
+    assert spark.range(1).select(F.length(short_key(F.lit(long(1)))).alias("n")).first().n == 16
+
+
+def test_a_kept_table_is_compressed_columns(spark):
+    from kgweave.session import cut_lineage
+
+    df = spark.range(2000).select("id", F.lit("a long text that every row repeats").alias("t"), F.struct("id").alias("s"), F.array(F.lit(1.5)).alias("a"))
+    kept = cut_lineage(df)
+    assert kept.schema.simpleString() == df.schema.simpleString() and kept.exceptAll(df).isEmpty() and kept.count() == 2000
+    assert "parquet" in kept._jdf.queryExecution().executedPlan().toString().lower()
+    assert cut_lineage(df.select(F.lit(None).alias("nothing"))).count() == 2000  # a type that files lack
+
+
+def test_a_relation_of_most_edges_meets_its_concepts_in_place(spark):
+    from kgweave.operators import concepts as C
+
+    e = spark.createDataFrame([(f"a{i}", "hot" if i % 4 else f"r{i}", []) for i in range(2000)] + [("n", None, ["own"])], "start_id string, relation string, concepts array<string>")
+    r = spark.createDataFrame([(n, "relation", c) for n in ["hot"] + [f"r{i}" for i in range(0, 2000, 8)] for c in ("y", "x")], "node string, kind string, concept string")
+    got = C.edges_with_concepts(e, r)
+    want = {("n", None): ["own"], **{(f"a{i}", "hot" if i % 4 else f"r{i}"): ["x", "y"] if i % 4 or i % 8 == 0 else [] for i in range(2000)}}
+    assert {(x.start_id, x.relation): x.concepts for x in got.collect()} == want and got.count() == len(want)
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
