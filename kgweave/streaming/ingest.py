@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from .. import models, schema as SC
 from ..operators import extraction as X
@@ -22,7 +22,8 @@ from ..operators import extraction as X
 RECORD = ("file_name string, line_no long, id string, original_text string, entity_relation_dict string, "
           "event_entity_relation_dict string, event_relation_dict string")
 #: a key's candidate: node names and passage hashes share one store; ``place`` orders the mentions of a batch
-CANDIDATE = "key string, kind string, place string, name string, type string, text_id string, original_text string"
+KEYS = ("kind", "key")
+CANDIDATE = "kind string, key string, place string, type string, text_id string, original_text string"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
@@ -40,49 +41,33 @@ def candidates(records: DataFrame) -> DataFrame:
     digits = lambda c, n: F.lpad(c.cast("string"), n, "0")
     line = F.lpad(F.hex(F.col("ord.line_no").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
     place = F.concat(line, F.col("ord.kind").cast("string"), digits(F.col("ord.item"), 10), digits(F.col("ord.member"), 10), F.col("ord.end").cast("string"))
-    nodes = m.select(F.concat(F.lit("n:"), "name").alias("key"), F.lit("node").alias("kind"), place.alias("place"), "name", "type", "text_id",
-                     F.lit(None).cast("string").alias("original_text"))
-    texts = r.select(F.concat(F.lit("t:"), "text_id").alias("key"), F.lit("text").alias("kind"), F.lpad(F.hex(F.col("line_no").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0").alias("place"),
-                     F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("type"), "text_id", F.col("passage").alias("original_text"))
+    none = F.lit(None).cast("string")
+    nodes = m.select(F.lit("node").alias("kind"), F.col("name").alias("key"), place.alias("place"), "type", "text_id", none.alias("original_text"))
+    texts = r.select(F.lit("text").alias("kind"), F.col("text_id").alias("key"), F.lpad(F.hex(F.col("line_no").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0").alias("place"),
+                     none.alias("type"), none.alias("text_id"), F.col("passage").alias("original_text"))
     return nodes.unionByName(texts)
 
 
-def _first(rows: pd.DataFrame) -> pd.DataFrame:
-    return rows.sort_values("place").drop_duplicates("key")
-
-
 def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """First candidate per key of each Arrow batch: a name in a third of all rows is sent once per batch."""
+    """First candidate per key of each Arrow batch: a sentence, named by several triples of its document, is sent once."""
     for rows in batches:
-        yield _first(rows)
-
-
-class FirstSeen(StatefulProcessor):
-    """Passes on the first candidate of a key and remembers the key; later batches pass nothing."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._seen = handle.getValueState("seen", "place string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        best = None
-        for part in rows:
-            part = part if best is None else pd.concat([best, part])
-            best = _first(part)
-        if best is not None and not self._seen.exists():
-            self._seen.update((best["place"].iloc[0],))
-            yield best
-
-    def close(self) -> None:
-        pass
+        yield rows.sort_values("place").drop_duplicates([*KEYS])
 
 
 def first_seen(stream: DataFrame) -> DataFrame:
-    """The first candidate of every key, over all batches of a stream of candidates."""
+    """The first candidate of every key, over all batches of a stream of candidates; written in update mode.
+
+    A streaming aggregate keeps, per key, the earliest candidate by batch time and place, and the latest batch time.
+    An update returns every key that a batch brings; those met before differ in the two times and are left out.
+    """
     spark = stream.sparkSession
     if spark.conf.get(PROVIDER, None) != ROCKS:
         spark.conf.set(PROVIDER, ROCKS)  # keyed state values need a store that is not one map per partition
-    return stream.mapInPandas(_combine, CANDIDATE).groupBy("key").transformWithStateInPandas(
-        statefulProcessor=FirstSeen(), outputStructType=CANDIDATE, outputMode="Append", timeMode="None")
+    rest = [c for c in stream.columns if c not in KEYS]
+    # the time of a batch is written to the checkpoint before the batch starts: a retried one has the same
+    timed = stream.mapInPandas(_combine, CANDIDATE).withColumn("at", F.current_timestamp())
+    seen = timed.groupBy(*KEYS).agg(F.min(F.struct("at", *rest)).alias("first"), F.max("at").alias("last"))
+    return seen.where("first.at = last").select(*KEYS, *[F.col(f"first.{c}").alias(c) for c in rest])
 
 
 def ingest(docs: DataFrame, folder: str, checkpoint: str,
@@ -116,13 +101,13 @@ def ingest(docs: DataFrame, folder: str, checkpoint: str,
 
     def write_firsts(rows: DataFrame, batch: int) -> None:
         rows = rows.persist()
-        for name, part in (("nodes", rows.where("kind = 'node'").select("name", "type")),
-                           ("text_edges", rows.where("kind = 'node'").select(F.col("name").alias("start_id"), F.col("text_id").alias("end_id"))),
-                           ("text_nodes", rows.where("kind = 'text'").select("text_id", "original_text"))):
+        for name, part in (("nodes", rows.where("kind = 'node'").select(F.col("key").alias("name"), "type")),
+                           ("text_edges", rows.where("kind = 'node'").select(F.col("key").alias("start_id"), F.col("text_id").alias("end_id"))),
+                           ("text_nodes", rows.where("kind = 'text'").select(F.col("key").alias("text_id"), "original_text"))):
             part.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
         rows.unpersist()
 
-    return first_seen(candidates(stored)).writeStream.foreachBatch(write_firsts).option(
+    return first_seen(candidates(stored)).writeStream.outputMode("update").foreachBatch(write_firsts).option(
         "checkpointLocation", f"{checkpoint}/firsts").trigger(**trigger).start()
 
 

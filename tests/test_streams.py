@@ -45,6 +45,32 @@ def test_a_replayed_batch_changes_nothing(spark, tmp_path):
     assert n == len(first["nodes"]) + len(first["text_nodes"])
 
 
+def test_first_mentions_without_python_state(spark, tmp_path, monkeypatch):
+    """Keys are kept by a streaming aggregate, not by a Python call per key; the earliest place of a batch wins, then arrival."""
+    monkeypatch.setattr("pyspark.sql.GroupedData.transformWithStateInPandas", None)
+    src = str(tmp_path / "c")
+
+    def add(*c):
+        spark.createDataFrame([(*x, None) for x in c], I.CANDIDATE).coalesce(1).write.mode("append").parquet(src)
+    out = {}
+
+    def keep(df, batch):
+        out.setdefault(batch, []).extend(rows(df, "kind", "key", "type", "text_id"))
+
+    def go():
+        q = I.first_seen(spark.readStream.schema(I.CANDIDATE).parquet(src)).writeStream.outputMode("update").foreachBatch(keep).option(
+            "checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return q
+    add(("node", "a", "2", "event", "y"), ("node", "a", "1", "entity", "x"), ("node", "b", "3", "entity", "x"), ("text", "a", "1", None, None))
+    go()
+    add(("node", "a", "0", "event", "z"), ("node", "c", "5", "entity", "z"), ("node", "c", "4", "event", "w"))
+    q = go()
+    assert out[0] == [("node", "a", "entity", "x"), ("node", "b", "entity", "x"), ("text", "a", None, None)]
+    assert out[1] == [("node", "c", "event", "w")]
+    assert I.state_rows(q) == 4
+
+
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double"
 
 
