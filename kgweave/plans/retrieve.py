@@ -511,19 +511,28 @@ def keyword_concepts(queries: DataFrame, concepts: DataFrame, rels: DataFrame, k
     """Concepts whose name (first) or description contains an entity, then their related concepts.
 
     ``concepts``: pos, name, type, description; ``rels``: source, target. Order: entity, name
-    matches before description matches, then concept position; related concepts follow.
+    matches before description matches, then concept position; related concepts follow. Concepts without a
+    position are left out.
     """
-    e = queries.select("query_id", F.posexplode(keyword_entities("text")).alias("_e", "entity"))
-    parts = e.select(F.lower("entity").alias("part")).distinct().select(F.col("part").alias("key"), "part")
-    by_name = contained_names(concepts.select(F.col("pos").alias("key"), F.lower("name").alias("text")), parts).withColumn("_k", F.lit(0))
-    by_text = contained_names(concepts.select(F.col("pos").alias("key"), F.lower("description").alias("text")), parts).withColumn("_k", F.lit(1))
-    found = by_name.unionByName(by_text).withColumnRenamed("part_key", "part")
-    hits = e.withColumn("part", F.lower("entity")).join(found, "part").join(concepts.select(F.col("pos").alias("text_key"), "name"), "text_key").select(
-        "query_id", "name", F.struct(F.lit(0).alias("s"), F.col("_e").alias("e"), F.col("_k").alias("k"), F.col("text_key").alias("p")).alias("o"))
+    e = queries.select("query_id", F.posexplode(F.transform(keyword_entities("text"), F.lower)).alias("_e", "part"))
+    parts = cut_lineage(e.select("part").distinct()).select(F.col("part").alias("key"), "part")
+    # each distinct text is searched once, and stands for the first concept of every name that has it
+    held = concepts.where("pos IS NOT NULL").select("name", "pos", F.explode(F.array(
+        F.struct(F.lit(0).alias("k"), F.lower("name").alias("text")), F.struct(F.lit(1).alias("k"), F.lower("description").alias("text")))).alias("t"))
+    held = cut_lineage(held.where("t.text IS NOT NULL").groupBy("t.k", "t.text", "name").agg(F.min("pos").alias("p")))
+    found = contained_names(held.select(F.col("text").alias("key"), "text").distinct(), parts).select(F.col("text_key").alias("text"), F.col("part_key").alias("part"))
+    named = held.join(found, "text").groupBy("part", "name").agg(F.min(F.struct("k", "p")).alias("o"))
+    # the first ``k`` names of a query are among the first ``k`` of each of its entities; where a query has fewer, all its
+    # names are kept, and only then do related concepts take a place
+    best = W.partitionBy("part").orderBy("o", "name")
+    top = cut_lineage(named.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r"))
+    hits = e.join(top, "part").select("query_id", "name", F.struct(F.lit(0).alias("s"), F.col("_e").alias("e"), F.col("o.k").alias("k"), F.col("o.p").alias("p")).alias("o"))
     first = cut_lineage(hits.groupBy("query_id", "name").agg(F.min("o").alias("o")))
-    links = rels.select("source", "target", F.lit(0).alias("d")).unionByName(rels.select(F.col("target").alias("source"), F.col("source").alias("target"), F.lit(1).alias("d")))
-    known = concepts.groupBy("name").agg(F.min("pos").alias("pos"))
-    more = first.withColumnRenamed("name", "source").join(links, "source").join(known.withColumnRenamed("name", "target"), "target").select(
+    links = rels.select("source", "target").unionByName(rels.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
+    known = concepts.groupBy(F.col("name").alias("target")).agg(F.min("pos").alias("pos"))
+    # likewise, the first ``k`` related concepts of a source are all that can take a place through it
+    near = links.join(known, "target").withColumn("_r", F.row_number().over(W.partitionBy("source").orderBy("pos", "target"))).where(F.col("_r") <= k)
+    more = first.withColumnRenamed("name", "source").join(near, "source").select(
         "query_id", F.col("target").alias("name"), F.struct(F.lit(1).alias("s"), F.col("o.e").alias("e"), F.col("o.k").alias("k"), F.col("pos").alias("p")).alias("o"))
     every = first.unionByName(more).groupBy("query_id", "name").agg(F.min("o").alias("o"))
     w = W.partitionBy("query_id").orderBy("o", "name")

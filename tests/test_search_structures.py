@@ -242,3 +242,39 @@ def test_long_answers_and_names(spark):
     df = spark.createDataFrame([(f'{{"keywords": ["a", "b"], "fact": [["h", "r", "{long}"]]}}', " ".join(["Ann"] * 5000) + " McX met Bob")], "a string, t string")
     got = O.first_triplets(O.keywords(df, "a", "k"), "a", "f").select("k", "f", models.capital_entities("t").alias("e")).first()
     assert got.k == ["a", "b"] and len(got.f[0][2]) == 750_000 and got.e[1] == "Bob" and got.e[0].count("Ann") == 5000
+
+
+def test_keyword_concepts_search_each_text_once(spark, monkeypatch):
+    """A thousand concepts share twelve names: each text is searched once and each entity hands on its first names only."""
+    names = [f"{a} {b}" for a in ("big", "red", "old") for b in ("bolt", "gear", "bigring", "pin")] + ["lone", "kin 1", "kin 2"]
+    concepts = [(i, names[i % 12], f"kind {i % 7}") for i in range(1000)] + [(1001, "lone", None), (1000, "kin 2", "x"), (1002, "kin 1", "x"), (1003, "kin 1", "x"), (1004, None, "Kind 3")]
+    rels = [("lone", "kin 1"), ("kin 2", "lone"), ("red bolt", "lone"), ("lone", "lone")]
+    questions = [(0, "Big Red"), (1, "Lone"), (2, "Kind"), (3, "Pin Lone"), (4, "Zzz")]
+    calls = []
+
+    def counted(texts, parts, *a, _run=Q.contained_names, **k):
+        calls.append(texts.count())
+        return _run(texts, parts, *a, **k)
+    monkeypatch.setattr(Q, "contained_names", counted)
+    got = Q.keyword_concepts(spark.createDataFrame(questions, "query_id int, text string"),
+                             spark.createDataFrame([(i, n, "t", d) for i, n, d in concepts], "pos int, name string, type string, description string"),
+                             spark.createDataFrame(rels, "source string, target string"), 3)
+    first_pos = {}
+    for i, n, _ in concepts:
+        first_pos[n] = min(i, first_pos.get(n, i))
+    want = []
+    for q, text in questions:
+        o = {}
+        for e, w in enumerate(text.lower().split()):
+            for i, n, d in concepts:
+                for c in [(0, e, 0, i)] * (w in (n or "").lower()) + [(0, e, 1, i)] * (w in (d or "").lower()):
+                    o[n] = min(c, o.get(n, c))
+        found = dict(o)
+        for s, t in rels + [(t, s) for s, t in rels]:
+            if s in found:
+                c = (1, *found[s][1:3], first_pos[t])
+                o[t] = min(c, o.get(t, c))
+        for r, (c, n) in enumerate(sorted((c, n or "") for n, c in o.items())[:3], 1):
+            want.append((q, r, n, "relation" if c[0] else "description" if c[2] else "name"))
+    assert rows(got.select("query_id", "rank", F.coalesce("name", F.lit("")), "source")) == sorted(want, key=str)
+    assert sum(calls) < 30  # distinct names and descriptions
