@@ -1,14 +1,21 @@
 """N-gram overlap between training documents and evaluation texts."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.arrays import ngrams, word_ngrams
-from ..functions.text import PY_WS, ngram_normalize, squeeze
+from ..functions.arrays import let, ngrams, word_ngrams
+from ..functions.text import PY_WS, ngram_normalize, squeeze, tokens
 from ..session import cut_lineage, running_total
 
 # N-gram length, removed window, dirty cut-off, minimum kept slice, common threshold.
 N, WINDOW, CUTOFF, MIN_SLICE, COMMON = 13, 200, 10, 200, 10
+# Counting: bytes of text per bucket, n-grams per row of hashes, rows of a batch that two bytes can number.
+BUCKET, RUN, SHORT = 1 << 25, 512, 1 << 16
 
 
 def document_ngrams(docs: DataFrame, key: list[str], text: str = "text", n: int = N) -> DataFrame:
@@ -28,16 +35,118 @@ def _hashes(n: int) -> list:
 def common_ngrams(docs: DataFrame, key: str, text: str = "text", n: int = N, more_than: int = COMMON) -> DataFrame:
     """N-grams found in more than ``more_than`` documents, with the number of documents.
 
-    Each document already offers an n-gram once, so a plain count (combined on the map side) is the number of
-    distinct documents; ``key`` is unique and not null. Only hashes are shuffled. The count names one document of
-    each common n-gram, and its text is looked up in those few documents alone.
+    Each document offers an n-gram once; ``key`` should be unique and not null. Only 96-bit hashes are shuffled, packed so
+    that none takes the space of a row: a task combines the n-grams of a batch of documents and deals them to
+    buckets, whose number follows the size of the texts. The count names one document of each common n-gram, and
+    its text is looked up in those few documents alone.
     """
-    counts = cut_lineage(hashed_ngrams(docs, [key], text, n).groupBy("h1", "h2").agg(
-        F.count("*").alias("n_docs"), F.min(key).alias("_doc")).filter(F.col("n_docs") > more_than))
-    few = docs.join(counts.select(F.col("_doc").alias(key)).distinct(), key, "left_semi")
-    grams = document_ngrams(few, [key], text, n).select("ngram", *_hashes(n))
-    return grams.join(counts, ["h1", "h2"]).groupBy("h1", "h2").agg(
-        F.min("ngram").alias("ngram"), F.first("n_docs").alias("n_docs")).select("ngram", "n_docs")
+    size = docs.agg(F.sum(F.octet_length(text).cast("bigint"))).first()[0] or 0
+    buckets = max(docs.sparkSession.sparkContext.defaultParallelism, size // BUCKET + 1)
+    kind = docs.schema[key].dataType.simpleString()
+    # long documents are cut into runs of n-grams, which bounds a batch of rows
+    run = lambda h, i: F.struct(F.slice(h["h1"], i + 1, RUN).alias("h1"), F.slice(h["h2"], i + 1, RUN).alias("h2"))
+    runs = let(_gram_hashes(F.array_distinct(word_ngrams(ngram_normalize(text), n)), n), lambda h: F.when(
+        F.size(h["h1"]) > 0, F.transform(F.sequence(F.lit(0), F.size(h["h1"]) - 1, F.lit(RUN)), lambda i: run(h, i))))
+    packed = docs.select(F.col(key).alias("key"), F.explode(runs).alias("h")).select("key", "h.h1", "h.h2").mapInArrow(
+        _pack(buckets), f"bucket int, h1 binary, h2 binary, n binary, doc binary, keys array<{kind}>")
+    counts = cut_lineage(packed.groupBy("bucket").applyInArrow(_count(more_than), f"h1 bigint, h2 int, n_docs bigint, _doc {kind}"))
+    wanted = counts.groupBy("_doc").agg(F.collect_list(F.struct("h1", "h2", "n_docs")).alias("w")).select(
+        "_doc", F.col("w.h1").alias("w1"), F.col("w.h2").alias("w2"), F.col("w.n_docs").alias("n_docs"))
+    # where keys repeat or are null after all, several documents are looked into and their answers united
+    keys = docs.groupBy(key).agg(F.count("*").alias("n")).agg(F.max((F.col("n") > 1) | F.col(key).isNull())).first()[0]
+    same = F.col("_key").eqNullSafe(F.col("_doc")) if keys else F.col("_key") == F.col("_doc")
+    few = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where("_text IS NOT NULL").join(wanted, same)
+    words = tokens(ngram_normalize("_text"))
+    found = few.select(F.array_join(words, " ").alias("text"), _gram_hashes(word_ngrams(ngram_normalize("_text"), n), n).alias("h"), "w1", "w2", "n_docs").select(
+        "text", "h.h1", "h.h2", "w1", "w2", "n_docs").mapInArrow(_look_up(n), "ngram string, n_docs bigint")
+    return found.groupBy("ngram").agg(F.max("n_docs").alias("n_docs")) if keys else found
+
+
+def _gram_hashes(grams, n: int):
+    """Two arrays that hash an array of n-grams, 64 and 32 bits."""
+    return let(grams, lambda g: F.struct(F.transform(g, lambda x: F.xxhash64(x)).alias("h1"), F.transform(g, lambda x: F.hash(F.lit(n), x)).alias("h2")))
+
+
+def _equal_runs(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts): an order that brings equal hashes together, and where each of them begins in it."""
+    order = np.argsort(h1, kind="stable")
+    a, b = h1[order], h2[order]
+    new = a[1:] != a[:-1]
+    if np.any(~new & (b[1:] != b[:-1])):  # two n-grams share the first hash
+        order = np.lexsort((h2, h1))
+        a, b = h1[order], h2[order]
+        new = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return order, np.flatnonzero(np.concatenate([np.ones(min(1, len(a)), bool), new]))
+
+
+def _planes(a: np.ndarray) -> bytes:
+    """First bytes of all numbers, then second ones, and so on: the high bytes of small numbers compress away."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes()
+
+
+def _pack(buckets: int):
+    """Per batch of (key, h1, h2): a row per bucket with the batch's distinct hashes, their numbers of rows and one key of each."""
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = (b.slice(i, SHORT) for b in batches for i in range(0, b.num_rows, SHORT))
+        for b in parts:
+            h1 = b.column("h1").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            h2 = b.column("h2").flatten().to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column("h1")).to_numpy(zero_copy_only=False))
+            order, starts = _equal_runs(h1, h2)
+            n = np.diff(np.append(starts, len(order))).astype(np.uint32)
+            first = order[starts]
+            h1, h2, doc = h1[first], h2[first], doc[first]
+            edges = np.searchsorted((h1 >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+            out = []
+            for k in np.flatnonzero(np.diff(edges)):
+                at = slice(edges[k], edges[k + 1])
+                used, place = np.unique(doc[at], return_inverse=True)
+                out.append((int(k), _planes(np.diff(h1[at], prepend=np.uint64(0))), h2[at].tobytes(), n[at].tobytes(), place.astype(np.uint16).tobytes(), b.column("key").take(pa.array(used))))
+            if out:
+                k, *cells, keys = zip(*out)
+                ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), *[pa.array(c, pa.binary()) for c in cells], pa.ListArray.from_arrays(ends, pa.concat_arrays(keys))],
+                                                 ["bucket", "h1", "h2", "n", "doc", "keys"])
+    return packed
+
+
+def _count(more_than: int):
+    """Hashes of a bucket that more than ``more_than`` rows hold, with their number and one key."""
+    def counted(t: pa.Table) -> pa.Table:
+        col = lambda c, kind: np.frombuffer(b"".join(x.as_py() for x in t.column(c)), kind)
+        steps = (np.frombuffer(x.as_py(), np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel() for x in t.column("h1"))
+        h1, h2, n = np.concatenate([np.cumsum(x, dtype=np.uint64) for x in steps]), col("h2", np.int32), col("n", np.uint32)
+        lists = t.column("keys").combine_chunks()
+        lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
+        sizes = np.array([len(x.as_buffer()) // 2 for x in t.column("doc")])
+        base = np.cumsum([0, *pc.list_value_length(lists).to_numpy(zero_copy_only=False)[:-1]])
+        doc = col("doc", np.uint16) + np.repeat(base, sizes)
+        order, starts = _equal_runs(h1, h2)
+        total = np.add.reduceat(n[order].astype(np.int64), starts)
+        kept = total > more_than
+        rep = order[starts[kept]]
+        return pa.table([pa.array(h1[rep].view(np.int64)), pa.array(h2[rep]), pa.array(total[kept]), lists.flatten().take(pa.array(doc[rep]))],
+                        ["h1", "h2", "n_docs", "_doc"])
+    return counted
+
+
+def _look_up(n: int):
+    """The texts of a document's wanted n-grams: (ngram, n_docs)."""
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            grams, counts = [], []
+            for text, *lists in zip(*(b.column(c) for c in ("text", "h1", "h2", "w1", "w2", "n_docs"))):
+                h1, h2, w1, w2, c = (x.values.to_numpy(zero_copy_only=False).tolist() for x in lists)
+                wanted, words = dict(zip(zip(w1, w2), c)), text.as_py().split(" ")
+                for i, h in enumerate(zip(h1, h2)):
+                    if (docs := wanted.pop(h, None)) is not None:
+                        grams.append(" ".join(words[i:i + n]))
+                        counts.append(docs)
+                if len(grams) > SHORT:
+                    yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(counts, pa.int64())], ["ngram", "n_docs"])
+                    grams, counts = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(counts, pa.int64())], ["ngram", "n_docs"])
+    return found
 
 
 def overlaps(train: DataFrame, train_key: str, evals: DataFrame, eval_key: str, text: str = "text", n: int = N) -> DataFrame:

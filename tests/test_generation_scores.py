@@ -100,6 +100,31 @@ def test_common_ngrams_name_their_text(spark):
     assert D.common_ngrams(docs.where("id > 90"), "id", n=3).count() == 0
 
 
+def test_common_ngrams_are_shuffled_packed(spark, tmp_path, monkeypatch):
+    """No row per n-gram is shuffled; long documents, repeated and null keys, and several batches give the right counts."""
+    import random
+
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(rng.choice((1, 5, 60, 1500)))) for _ in range(60)] + ["W1, w2 w3!"] * 3 + [None, ""]
+    want = {}
+    for t in texts:
+        w = (t or "").lower().replace(",", "").replace("!", "").split()
+        for g in {" ".join(w[i:i + 3]) for i in range(len(w) - 2)}:
+            want[g] = want.get(g, 0) + 1
+    for keys in ([str(i) for i in range(len(texts))], [str(i % 50) for i in range(len(texts))], [None if i % 3 else str(i) for i in range(len(texts))]):
+        docs = spark.createDataFrame([*zip(keys, texts)], "id string, text string").repartition(3)
+        kept = []
+
+        def keep(df, _run=D.cut_lineage):
+            kept.append(df._jdf.queryExecution().toString())
+            return _run(df)
+        monkeypatch.setattr(D, "cut_lineage", keep)
+        assert dict(rows(D.common_ngrams(docs, "id", n=3, more_than=1))) == {g: c for g, c in want.items() if c > 1}
+        monkeypatch.undo()
+        assert len(rows(D.common_ngrams(docs, "id", n=3, more_than=1))) == len({g for g, c in want.items() if c > 1})
+        assert "hashpartitioning(bucket" in kept[0] and "hashpartitioning(h1" not in kept[0]
+
+
 def test_edge_concepts_keep_first_seen_order(spark):
     e = spark.createDataFrame([("a", "b", ["x", "y"], 3), ("a", "b", ["z", "x"], 1), ("a", "b", ["x", "y"], 2), ("a", "c", [], 1), ("a", "d", None, 1), ("d", "a", ["q", "q"], 1)],
                               "src string, dst string, concepts array<string>, ord int")
