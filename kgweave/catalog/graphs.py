@@ -193,7 +193,8 @@ UNION ALL SELECT 'events', count(*) FROM lasttype WHERE type = 'event'""")
 def json_graph(spark, d):
     docs = documents(spark, d)
     r = X.with_text_ids(models.rule_extraction(docs))
-    t = X.all_triples(r).withColumn("passage", F.col("text_id")).withColumn("file_id", F.col("line_no").cast("string"))
+    # stored: the graph reads the triples once for nodes, once for relations and once for mentions
+    t = cut_lineage(X.all_triples(r)).withColumn("passage", F.col("text_id")).withColumn("file_id", F.col("line_no").cast("string"))
     g, _, _ = G.json_graph(t, docs.select("text"))
     e = g.edges.groupBy((F.col("relation") == G.MENTION).alias("m")).agg(
         F.count("*").alias("n"), F.sum(F.length("relation")).cast("bigint").alias("c"))
